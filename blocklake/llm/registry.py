@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blocklake.llm import byte_bpe, document_fingerprint, license_scan
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan
 from blocklake.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op4_html_extraction(spark, sf_dir):
+    return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
