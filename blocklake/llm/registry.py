@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules
 from blocklake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.digest_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_document_fingerprint(spark, sf_dir):
     return document_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
