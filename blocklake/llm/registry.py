@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules
-from blocklake.llm.common import table
+import uuid
+
+from pyspark.sql import functions as F
+
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules, warc
+from blocklake.llm.common import shared_dir, table
 
 
 def op1_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_warc(spark, sf_dir):
+    found = warc.archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").where("gap IS NULL")
+    number = lambda name: F.when(F.col(name) != "", F.col(name)).cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op4_html_extraction(spark, sf_dir):
     return html_extraction.extract_text(table(spark, sf_dir, "pages"))
 
