@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules, warc
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules, simhash, warc
 from blocklake.llm.common import shared_dir, table
 
 
@@ -34,6 +34,11 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_document_fingerprint(spark, sf_dir):
     return document_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
