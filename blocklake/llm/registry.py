@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules, simhash, warc
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules, secret_scan, simhash, warc
 from blocklake.llm.common import shared_dir, table
 
 
@@ -20,6 +20,16 @@ def op2_warc(spark, sf_dir):
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] <= 2)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"), "n_live", "n_copied",
+    )
+
+
 def op4_html_extraction(spark, sf_dir):
     return html_extraction.extract_text(table(spark, sf_dir, "pages"))
 
