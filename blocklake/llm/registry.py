@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, quality_rules, secret_scan, simhash, warc
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, line_dedup, quality_rules, secret_scan, simhash, warc
 from blocklake.llm.common import shared_dir, table
 
 
@@ -34,6 +34,10 @@ def op4_html_extraction(spark, sf_dir):
     return html_extraction.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
