@@ -11,6 +11,7 @@ import operator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ EXTRA = ("n_upper", "n_exclaim", "n_digits", "n_same_next", "n_lines")
 RATIOS = ("symbols_per_word", "chars_per_word", "dup_line_share", "repeat_share", "upper_share", "exclaim_per_word", "digit_share", "same_next_share", "words_per_line")
 #: Bound on the labelled rows that the rules are fitted on; those with the least hashes of their ids.
 SAMPLE = 20_000
+#: The base rule: fewer words, or a greater percentage of them in repeated windows, fails.
+MIN_WORDS, MAX_REPEAT = 20, 30
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -198,6 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     return learn_rules({name: found[name].to_numpy(float) for name in RATIOS}, found["low"].to_numpy() == 0)
 
 
+def verdict(rules: list[Rule]) -> dict[str, Column]:
+    """base_failed, rule (the first learned rule that rejects a text, else null) and kept over the columns of text_statistics."""
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    rule = rules_column(rules)
+    return {"base_failed": failed, "rule": rule, "kept": ~failed & rule.isNull()}
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, base counts, base_failed, rule (the first learned rule that rejects the text, else null) and kept, a row per row of docs.
 
@@ -205,6 +215,17 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     rules = fit(docs, labels, key=key, text=text)
     stats = text_statistics(docs, key, text)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = stats.select("*", failed.alias("base_failed"), rules_column(rules).alias("rule"))
-    return out.select(key, *BASE, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+    return stats.withColumns(verdict(rules)).select(key, *BASE, "base_failed", "kept", "rule")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, each counted where it is read."""
+    rules = fit(docs, labels, key=key, text=text)
+
+    @F.pandas_udf("array<long>")
+    def counts(texts: pd.Series) -> pd.Series:
+        return texts.map(_counts)
+
+    names = BASE + EXTRA
+    counted = docs.select(F.struct(*docs.columns).alias("row"), counts(utf8(F.col(text))).alias("c")).select("row", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return with_ratios(counted).where(verdict(rules)["kept"]).select("row.*")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, line_dedup, quality_rules, secret_scan, simhash, warc
+from blocklake.llm import byte_bpe, document_fingerprint, html_extraction, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash, warc
 from blocklake.llm.common import shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.digest_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_count("text"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,9 @@ def op10_document_fingerprint(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
+    import corpus_pipeline
+
+    return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
