@@ -67,5 +67,15 @@ def queries() -> dict:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)} | {"pipeline": corpus_pipeline.run}
 
 
+#: Base32 of a SHA-1 in hex, from four groups of 40 bits.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(('0x' || substr(s, {1 + 10 * g}, 10)) AS BIGINT) >> {35 - 5 * i}) & 31 AS INTEGER), 1)" for g in range(4) for i in range(8))
+OP2_SQL = f"""WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM m"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """The others' methods (fuzzy search, learned rules, edit joins on whole tables, XXH64, BPE, dynamic programming) are held against brute force in tests/llm."""
+    import corpus_pipeline
+
+    return {"op2_warc": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
