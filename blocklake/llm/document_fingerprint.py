@@ -149,9 +149,10 @@ def with_next(rows: DataFrame, key: str, carry: list[str], per_partition: int =
     slots = ranges(F.col(key).cast("long")) if cuts else F.array(F.lit(0))
     placed = rows.select("*", F.posexplode(slots).alias("ghost", "slot"))
     window = Window.partitionBy("slot").orderBy("ghost", F.col(key).desc_nulls_last(), *carry)
-    following = F.coalesce(F.lead(F.struct(*carry)).over(window), F.first(F.struct(*carry)).over(window))
     assert kind in ("bigint", "int", "smallint", "tinyint"), kind
-    return placed.withColumn("following", following).where("ghost = 0").select(*rows.columns, *[F.col("following")[c].alias(f"next_{c}") for c in carry])
+    # column by column: of a struct Spark would shuffle a second copy
+    following = {f"next_{c}": F.coalesce(F.lead(c).over(window), F.first(c).over(window)) for c in carry}
+    return placed.withColumns(following).where("ghost = 0").drop("ghost", "slot")
 
 
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
