@@ -126,16 +126,16 @@ def fingerprint_texts(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return map_rows(columns, row, f"key {kind}, text string, n_chars long, fingerprint string").withColumnRenamed("key", key)
 
 
-def with_next(rows: DataFrame, key: str, carry: list[str], per_partition: int = 4) -> DataFrame:
+def with_next(rows: DataFrame, keys: DataFrame, key: str, carry: list[str], per_partition: int = 4) -> DataFrame:
     """rows with carry's values of the next row by descending integer key as next_<name>; after the last row comes the first.
 
-    Approximate percentiles, which are keys of the data, cut the keys into ranges of nearly equal size; the
+    Approximate percentiles of keys (the same rows before any work on them), which are keys of the data, cut the keys into ranges of nearly equal size; the
     largest key of a range is its cut, so its row is known and also goes to the end of the range before it.
     One shuffle by range, and no task sees more than its ranges. Null keys come last and a lone row follows
     itself; rows of an equal key stand in the order of their carried values.
     """
     parts = per_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("cuts"), F.max(key).alias("top")).first()
+    found = keys.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("cuts"), F.max(key).alias("top")).first()
     cuts = sorted({*(found["cuts"] or []), *([] if found["top"] is None else [found["top"]])})  # at most parts numbers
     array = np.array(cuts, np.int64)
     kind = rows.schema[key].dataType.simpleString()
@@ -164,7 +164,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     kind = docs.schema[key].dataType.simpleString()
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    paired = with_next(fingerprint_texts(docs, key, text), key, ["text", "fingerprint"])
+    paired = with_next(fingerprint_texts(docs, key, text), docs, key, ["text", "fingerprint"])
     edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
 
     def row(k, n, digest, own, following, t, e):
