@@ -109,13 +109,13 @@ def _gain(good: int, bad: int, base: float) -> float:
 
 
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, limit: int) -> Rule:
-    """Adds the term with the most gain until no good text is covered or nothing helps."""
+    """Adds the term with the most gain, and of those the widest gap at its threshold, until no good text is covered or nothing helps."""
     inside, terms = np.ones(len(bad), bool), []
     while len(terms) < limit:
         p, n = int(bad[inside].sum()), int((~bad[inside]).sum())
         if not p or not n:
             break
-        base, best = np.log2(p / (p + n)), (1e-6, None)
+        base, best = np.log2(p / (p + n)), (1e-6, 0.0, None)
         for name, values in x.items():
             v, b = values[inside], bad[inside]
             order = np.argsort(v, kind="stable")
@@ -130,12 +130,13 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, limit: int) -> Rule:
                 neg = (p + n - count - pos) if greater else count - pos
                 gains = np.where(pos > 0, pos * (np.log2((pos + 1e-9) / np.maximum(pos + neg, 1)) - base), 0)
                 i = int(np.argmax(gains))
-                if gains[i] > best[0]:
-                    cut = float((v[cuts[i]] + v[cuts[i] + 1]) / 2)
-                    best = (float(gains[i]), (name, greater, cut))
-        if best[1] is None:
+                low, high = float(v[cuts[i]]), float(v[cuts[i] + 1])
+                margin = (high - low) / float(v[-1] - v[0])
+                if (round(float(gains[i]), 6), margin) > best[:2]:
+                    best = (round(float(gains[i]), 6), margin, (name, greater, (low + high) / 2))
+        if best[2] is None:
             break
-        terms.append(best[1])
+        terms.append(best[2])
         inside = Rule(tuple(terms)).mask(x)
     return Rule(tuple(terms))
 
@@ -154,7 +155,7 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return best
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, max_rules: int = 24, max_terms: int = 4, seed: int = 7) -> list[Rule]:
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.99, max_rules: int = 24, max_terms: int = 4, seed: int = 7) -> list[Rule]:
     """Ordered rules for bad texts by sequential covering.
 
     Two thirds of the rows that no rule covers yet grow a rule, the last third prunes it; a rule counts if it is
