@@ -18,8 +18,8 @@ from blocklake.llm.common import shared_dir, written
 from blocklake.llm.components import components
 
 DISTANCE, LEAST = 2, 32
-#: Lines under one key are verified in lists of about this length at most; more are dealt into pairs of blocks.
-BLOCK = 32
+#: Lines under one key are compared in lists of about this length at most; more are dealt into pairs of blocks.
+BLOCK = 256
 #: A table of up to so many narrow rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 SMALL = 500_000
 
@@ -63,58 +63,90 @@ def members(lines: DataFrame, distance: int) -> DataFrame:
     return cut.where("start >= 1 AND start + size - 1 <= n").select(F.xxhash64("length", "seg", F.substring(F.col("line"), F.col("start"), F.col("size"))).alias("k"), "id")
 
 
-def within(p: Column, t: Column, distance: int) -> Column:
-    """Whether two arrays of characters are within the edit distance.
+def let(value: Column, use) -> Column:
+    """use(value) with the value found once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def within(line: Column, other: Column, distance: int) -> Column:
+    """Whether two lines are within the edit distance.
 
     Word e holds a bit for every diagonal of the band: that the prefixes that meet there are within e edits.
-    A character of t moves all words on: matches stay, and from one edit less come substitutions (same bit),
-    insertions (the bit above) and deletions (the new bit below).
+    A character of the other line moves all words on: matches stay, and from one edit less come substitutions
+    (same bit), insertions (the bit above) and deletions (the new bit below). Without a bit left nothing moves.
     """
     width = 2 * distance + 1
     full = (1 << width) - 1
     names = [f"r{e}" for e in range(distance + 1)]
     start = F.struct(*[F.lit(sum(1 << b for b in range(distance, distance + e + 1))).cast("int").alias(n) for e, n in enumerate(names)], F.lit(0).alias("j"))
 
+    def run(p, t):
+        def step(acc, c):
+            match = F.lit(0)
+            for b in range(width):
+                match = match.bitwiseOR(F.when(F.get(p, acc["j"] - distance + b).eqNullSafe(c), F.lit(1 << b)).otherwise(F.lit(0)))
+
+            def moved(m):
+                out = []
+                for e, name in enumerate(names):
+                    new = acc[name].bitwiseAND(m)
+                    if e:
+                        less = acc[names[e - 1]]
+                        new = new.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full))
+                    out.append(new)
+                return F.struct(*[o.alias(n) for o, n in zip(out, names, strict=True)], (acc["j"] + 1).alias("j"))
+
+            return F.when(acc[names[-1]] == 0, acc).otherwise(let(match, moved))
+
+        diagonal = F.size(p) - F.size(t) + distance
+        reached = lambda end: F.call_function("shiftright", end, diagonal).bitwiseAND(F.lit(1)) == 1
+        return (diagonal >= 0) & (diagonal < width) & let(F.aggregate(t, start, step, lambda acc: acc[names[-1]]), reached)
+
+    return let(F.split(line, ""), lambda p: let(F.split(other, ""), lambda t: run(p, t)))
+
+
+def signature(line: Column) -> Column:
+    """Parities of how often characters (64 bits) and pairs of neighbours (128 bits) occur. An edit turns 2 and 4 bits at most."""
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    start = F.struct(F.lit(0).alias("last"), *[F.lit(0).cast("long").alias(n) for n in ("u", "b1", "b2")])
+
     def step(acc, c):
-        match = F.lit(0)
-        for b in range(width):
-            match = match.bitwiseOR(F.when(F.get(p, acc["j"] - distance + b).eqNullSafe(c), F.lit(1 << b)).otherwise(F.lit(0)))
-
-        def moved(m):
-            out = []
-            for e, name in enumerate(names):
-                new = acc[name].bitwiseAND(m)
-                if e:
-                    less = acc[names[e - 1]]
-                    new = new.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full))
-                out.append(new)
-            return F.struct(*[o.alias(n) for o, n in zip(out, names, strict=True)], (acc["j"] + 1).alias("j"))
-
-        return F.get(F.transform(F.array(match), moved), 0)  # so that the matches are found once
-
-    diagonal = F.size(p) - F.size(t) + distance
-    end = F.aggregate(t, start, step, lambda acc: acc[names[-1]])
-    reached = F.lit(False)
-    for b in range(width):
-        reached = reached | ((diagonal == b) & (end.bitwiseAND(F.lit(1 << b)) != 0))
-    return (diagonal >= 0) & (diagonal < width) & reached
+        code, pair = F.ascii(c), F.pmod(acc["last"] * 31 + F.ascii(c), F.lit(128))
+        low = acc["b1"].bitwiseXOR(F.when(pair < 64, bit(pair)).otherwise(F.lit(0).cast("long")))
+        high = acc["b2"].bitwiseXOR(F.when(pair >= 64, bit(pair - 64)).otherwise(F.lit(0).cast("long")))
+        return F.struct(code.alias("last"), acc["u"].bitwiseXOR(bit(code % 64)).alias("u"), low.alias("b1"), high.alias("b2"))
+
+    return F.aggregate(F.split(line, ""), start, step)
 
 
 def line_links(lines: DataFrame, distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
-    """a < b: ids of all different lines of `least` or more characters within the edit distance; lines has id and line, each once."""
+    """a < b: ids of all different lines of `least` or more characters within the edit distance; lines has id and line, each once.
+
+    Under a key only ids, lengths and signatures are compared. Pairs that these leave are verified.
+    """
     long = lines.where(F.char_length("line") >= least)
     keys = members(long, distance)
     live = written(keys.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("c")).where("low < high").select("k", "c"), "live-keys")
     met = written(keys.join(if_small(live), "k").distinct(), "met")
     ids = written(met.select("id").distinct(), "met-ids")
-    texts = long.join(if_small(ids), "id").select("id", F.split("line", "").alias("chars"))
+    marks = long.join(if_small(ids), "id").select("id", F.char_length("line").alias("n"), signature(F.col("line")).alias("s")).select("id", "n", "s.u", "s.b1", "s.b2")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = met.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).select("k", "id", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("k", "id", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    lists = dealt.join(texts, "id").groupBy("k", "x", "y").agg(F.collect_list(F.struct("id", "own", "chars")).alias("them"))
-    near = lambda p, q: (q["id"] > p["id"]) & ((p["own"] != q["own"]) | (F.col("x") == F.col("y"))) & within(p["chars"], q["chars"], distance)
+    lists = dealt.join(written(marks, "marks"), "id").groupBy("k", "x", "y").agg(F.collect_list(F.struct("id", "own", "n", "u", "b1", "b2")).alias("them"))
+    turned = lambda p, q, name: F.bit_count(p[name].bitwiseXOR(q[name]))
+
+    def near(p, q):
+        once = (q["id"] > p["id"]) & ((p["own"] != q["own"]) | (F.col("x") == F.col("y")))
+        return once & (F.abs(p["n"] - q["n"]) <= distance) & (turned(p, q, "u") <= 2 * distance) & (turned(p, q, "b1") + turned(p, q, "b2") <= 4 * distance)
+
     pairs = F.flatten(F.transform("them", lambda p: F.transform(F.filter("them", lambda q: near(p, q)), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))))
-    return lists.select(F.inline(pairs)).distinct()
+    candidates = written(lists.select(F.inline(pairs)).distinct(), "candidates")
+    ends = written(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    texts = written(long.join(if_small(ends), "id").select("id", "line"), "texts")
+    left = candidates.join(texts.select(F.col("id").alias("a"), F.col("line").alias("p")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("line").alias("q")), "b")
+    return both.where(within(F.col("p"), F.col("q"), distance)).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
