@@ -26,6 +26,8 @@ EXTRA = ("n_upper", "n_exclaim", "n_digits", "n_same_next", "n_lines")
 RATIOS = ("symbols_per_word", "chars_per_word", "dup_line_share", "repeat_share", "upper_share", "exclaim_per_word", "digit_share", "same_next_share", "words_per_line")
 #: Bound on the labelled rows that the rules are fitted on; those with the least hashes of their ids.
 SAMPLE = 20_000
+#: Bad rows that a rule has to meet, so as not to follow single texts.
+LEAST_HITS = 5
 #: The base rule: fewer words, or a greater percentage of them in repeated windows, fails.
 MIN_WORDS, MAX_REPEAT = 20, 30
 
@@ -155,28 +157,34 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return best
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.99, max_rules: int = 24, max_terms: int = 4, seed: int = 7) -> list[Rule]:
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.99, max_rules: int = 24, max_terms: int = 4, tries: int = 5, seed: int = 7) -> list[Rule]:
     """Ordered rules for bad texts by sequential covering.
 
-    Two thirds of the rows that no rule covers yet grow a rule, the last third prunes it; a rule counts if it is
-    right in at least `precision` of both parts. Without bad or without good rows there are no rules.
+    Two thirds of the rows that no rule covers yet grow a rule, the last third prunes it. The pruned rule counts, or
+    else the grown one, if it is right in at least `precision` of the rows it meets; if neither is, other thirds are
+    drawn, `tries` times in all. Without bad or without good rows there are no rules.
     """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     draw = np.random.default_rng(seed)
-    while bad[left].sum() >= 5 and (~bad[left]).any() and len(rules) < max_rules:
+
+    def right(rule: Rule) -> bool:
+        met = rule.mask(x)
+        return bool(rule.terms) and (met & left).sum() >= LEAST_HITS and all(bad[m].mean() >= precision for m in (met & left, met))
+
+    failed = 0
+    while failed < tries and bad[left].sum() >= LEAST_HITS and (~bad[left]).any() and len(rules) < max_rules:
         rows = np.flatnonzero(left)
         draw.shuffle(rows)
         grow, prune = rows[: 2 * len(rows) // 3], rows[2 * len(rows) // 3 :]
-        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], max_terms)
-        rule = _prune(rule, {k: v[prune] for k, v in x.items()}, bad[prune])
-        if not rule.terms:
-            break
-        hits = rule.mask(x) & left
-        if hits.sum() < 5 or bad[hits].mean() < precision or (rule.mask(x) & bad).sum() < precision * rule.mask(x).sum():
-            break
+        grown = _grow({k: v[grow] for k, v in x.items()}, bad[grow], max_terms)
+        pruned = _prune(grown, {k: v[prune] for k, v in x.items()}, bad[prune])
+        rule = next((r for r in (pruned, grown) if right(r)), None)
+        if rule is None:
+            failed += 1
+            continue
         rules.append(rule)
-        left &= ~hits
+        left &= ~rule.mask(x)
     return rules
 
 
