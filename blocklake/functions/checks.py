@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -70,6 +72,13 @@ def crc64_of(data: bytes, crc: int = 0) -> int:
     return int(value) ^ (2**64 - 1)
 
 
+def check_of(data: bytes, check: int) -> bytes:
+    """A block's check by its id in the format."""
+    if check == 10:
+        return hashlib.sha256(data).digest()
+    return {0: lambda: b"", 1: lambda: zlib.crc32(data).to_bytes(4, "little"), 4: lambda: crc64_of(data).to_bytes(8, "little")}[check]()
+
+
 def crc64(data: Column) -> Column:
     """CRC64 as 16 hex digits; null for null."""
 

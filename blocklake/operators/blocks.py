@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from blocklake.errors import XzError, XzLimitError
 from blocklake.functions import sizes
+from blocklake.functions.arm64 import arm64
+from blocklake.functions.checks import check_of
 from blocklake.sources import container
 from blocklake.sources.tables import range_reader
 
@@ -45,8 +47,8 @@ class Options:
             raise ValueError("dict_size is 4 KiB to 1.5 GiB")
         if self.block_size is not None and self.block_size < 1:
             raise ValueError("block_size is positive")
-        if self.filter not in (None, "delta", *RAW_IDS):
-            raise ValueError(f"filter is delta or one of {', '.join(RAW_IDS)}")
+        if self.filter not in (None, "delta", "arm64", *RAW_IDS):
+            raise ValueError(f"filter is delta, arm64 or one of {', '.join(RAW_IDS)}")
         if not 1 <= self.delta_distance <= 256:
             raise ValueError("delta_distance is 1 to 256")
 
@@ -56,7 +58,17 @@ class Options:
         last = {"id": lzma.FILTER_LZMA2, "preset": self.preset | (lzma.PRESET_EXTREME if self.extreme else 0), "dict_size": min(max(length, 4096), most)}
         if self.filter == "delta":
             return [{"id": lzma.FILTER_DELTA, "dist": self.delta_distance}, last]
-        return [{"id": RAW_IDS[self.filter]}, last] if self.filter else [last]
+        return [{"id": RAW_IDS[self.filter]}, last] if self.filter in RAW_IDS else [last]
+
+    def encode(self, data: bytes) -> tuple[bytes, int, int]:
+        """A block of data and its sizes. The library has no ARM64 filter to write with: that block is put together here."""
+        number = container.CHECKS[self.check]
+        if self.filter != "arm64":
+            return container.encode_block(data, number, self.chain(len(data)))
+        chain = self.chain(len(data))
+        packed = lzma.compress(arm64(data, 0, True), lzma.FORMAT_RAW, filters=chain)
+        props = bytes((container.dict_code(chain[-1]["dict_size"]),))
+        return container.build_block(packed, [(container.FILTERS["arm64"], b""), (container.FILTERS["lzma2"], props)], check_of(data, number), len(data))
 
     def block_bytes(self, length: Column) -> Column:
         if self.block_size:
@@ -77,11 +89,10 @@ def encode_blocks(df: DataFrame, key: str, data: str, options: Options) -> DataF
     """key, block_no, unpadded_size, uncompressed_size and raw of every block, each encoded on its own and spread over tasks."""
     planned = plan_blocks(df, key, data, options.block_bytes(F.octet_length(data)))
     blocks = planned.select(F.col(key), "block_no", F.expr("substring(data, cast(block_offset + 1 AS int), cast(block_length AS int))").alias("piece"))
-    check = container.CHECKS[options.check]
 
     def run(batches):
         for batch in batches:
-            encoded = [container.encode_block(piece, check, options.chain(len(piece))) for piece in batch.column(2).to_pylist()]
+            encoded = [options.encode(piece) for piece in batch.column(2).to_pylist()]
             raw, unpadded, size = zip(*encoded, strict=True) if encoded else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unpadded, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], ["k", "block_no", "unpadded_size", "uncompressed_size", "raw"])
 
@@ -118,7 +129,7 @@ def xz_compress(column: Column, options: Options | None = None) -> Column:
             if v is None:
                 return None
             step = chosen.block_size or max(2 * min(max(len(v), 4096), chosen.dict_size or sizes.PRESETS[chosen.preset][1] * 1024), 1 << 20)
-            blocks = [container.encode_block(v[i : i + step], container.CHECKS[chosen.check], chosen.chain(min(step, len(v) - i))) for i in range(0, len(v), step)]
+            blocks = [chosen.encode(v[i : i + step]) for i in range(0, len(v), step)]
             return container.assemble([b[0] for b in blocks], [(b[1], b[2]) for b in blocks], container.CHECKS[chosen.check])
 
         return values.map(one)

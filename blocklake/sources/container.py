@@ -232,6 +232,19 @@ def encode_block(data: bytes, check: int, filters: list[dict]) -> tuple[bytes, i
     return whole[12 : 12 + block.padded_size], block.unpadded_size, block.uncompressed_size
 
 
+def dict_code(size: int) -> int:
+    """The least property byte whose dictionary holds a size."""
+    return next((c for c in range(40) if dict_size(c) >= size), 40)
+
+
+def build_block(packed: bytes, chain: list[tuple[int, bytes]], check: bytes, uncompressed: int) -> tuple[bytes, int, int]:
+    """A block from LZMA2 data that is made already, with both sizes in its header; and its (unpadded, uncompressed) sizes."""
+    fields = vli_bytes(len(packed)) + vli_bytes(uncompressed) + b"".join(vli_bytes(name) + vli_bytes(len(props)) + props for name, props in chain)
+    size = (2 + len(fields) + 3) // 4 * 4 + 4
+    head = (bytes((size // 4 - 1, 0xC0 | len(chain) - 1)) + fields).ljust(size - 4, b"\0")
+    return head + crc(head) + packed + bytes(-len(packed) % 4) + check, size + len(packed) + len(check), uncompressed
+
+
 def decode_all(data: bytes, limit: int | None = None) -> bytes:
     """All streams of a value, one after the other. The limit holds for their sum and is tested against the indexes first."""
     streams = walk(lambda at, n: data[at : at + n], len(data))

@@ -78,7 +78,7 @@ class XzWriter(DataSourceWriter):
             for row in rows:
                 data = bytes(row[self.column] or b"")
                 if data:
-                    raw, unpadded, size = container.encode_block(data, check, self.options.chain(len(data)))
+                    raw, unpadded, size = self.options.encode(data)
                     out.write(raw)
                     records.append((unpadded, size))
             index = container.index_bytes(records)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blocklake.errors import XzLimitError
 from blocklake.functions import checks
+from blocklake.functions.arm64 import arm64
 from blocklake.operators import alone, blocks, filters
 from blocklake.operators.blocks import Options
 from blocklake.sources import container, datasource, tables
@@ -120,9 +121,9 @@ def test_filters_undo_themselves(spark, name):
 
 def test_arm64_addresses():
     call = (0x94000001).to_bytes(4, "little")
-    assert filters._arm64(bytes(4) + call, 0, True)[4:] == (0x94000002).to_bytes(4, "little")
+    assert arm64(bytes(4) + call, 0, True)[4:] == (0x94000002).to_bytes(4, "little")
     packed = lzma.compress(b"", lzma.FORMAT_XZ)
-    assert packed and filters._arm64(b"abc", 0, True) == b"abc"
+    assert packed and arm64(b"abc", 0, True) == b"abc"
 
 
 def test_lzma_alone(spark):
