@@ -78,7 +78,7 @@ def test_format(spark, folder, tmp_path):
     datasource.register(spark)
     df = spark.read.format("xz").load(folder)
     assert df.where("block_no >= 2").union(df.where("block_no < 2")).count() == df.count()  # used twice, filtered differently
-    assert df.count() == len([*container.walk(lambda a, n: b"", 0)]) if False else df.count() > 10
+    assert df.count() > 10
     out = str(tmp_path / "out")
     rows = spark.createDataFrame([(i, bytes([65 + i]) * 5000) for i in range(6)], "i int, data binary").repartitionByRange(3, "i").sortWithinPartitions("i")
     rows.select("data").write.format("xz").mode("append").option("preset", "1").save(out)
