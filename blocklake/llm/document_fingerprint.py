@@ -23,6 +23,7 @@ from blocklake.llm.common import map_rows
 
 #: Primes under 2**31, so that products fit 64 bits, and a base for each.
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1812433253 % 2147483629)
+INVERSES = tuple(pow(base, prime - 2, prime) for base, prime in zip(BASES, PRIMES, strict=True))
 WIDTH, BINS = 16, 64
 
 
@@ -57,8 +58,8 @@ class Prefix:
     def span(self, start: int, length: int) -> tuple[int, ...]:
         """The hashes of length code points from start, the same wherever they stand."""
         out = []
-        for row, base, prime in zip(self.rows, BASES, PRIMES, strict=True):
-            back = pow(pow(base, prime - 2, prime), start, prime)
+        for row, inverse, prime in zip(self.rows, INVERSES, PRIMES, strict=True):
+            back = pow(inverse, start, prime)
             out.append(int(row[start + length] - row[start]) % prime * back % prime)
         return tuple(out)
 
@@ -67,8 +68,8 @@ class Prefix:
         width = min(width, self.n)
         count = self.n - width + 1
         out = np.zeros(count, np.int64)
-        for row, base, prime in zip(self.rows, BASES, PRIMES, strict=True):
-            back = powers(pow(base, prime - 2, prime), prime, self.n)[:count]
+        for row, inverse, prime in zip(self.rows, INVERSES, PRIMES, strict=True):
+            back = powers(inverse, prime, self.n)[:count]
             out = (out << 31) ^ ((row[width:] - row[:count]) % prime * back % prime)
         return out
 
@@ -100,7 +101,8 @@ def sketch(prefix: Prefix) -> str:
     np.minimum.at(bins, (mixed >> np.uint64(58)).astype(np.int64), mixed & np.uint64((1 << 58) - 1))
     empty = bins == np.iinfo(np.uint64).max
     folded = (bins ^ (bins >> np.uint64(23)) ^ (bins >> np.uint64(41))) & np.uint64(0xFFFF)
-    cells = ["----" if e else f"{int(x):04x}" for e, x in zip(empty, folded, strict=True)]
+    digits = folded.astype(">u2").tobytes().hex()
+    cells = [digits[4 * i : 4 * i + 4] for i in range(BINS)] if not empty.any() else ["----" if e else digits[4 * i : 4 * i + 4] for i, e in enumerate(empty.tolist())]
     whole = prefix.span(0, prefix.n)
     return "".join(cells) + f"{whole[0]:08x}{whole[1]:08x}{prefix.n:x}"
 
