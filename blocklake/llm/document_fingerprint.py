@@ -142,13 +142,15 @@ def with_next(rows: DataFrame, keys: DataFrame, key: str, carry: list[str], per_
     array = np.array(cuts, np.int64)
     kind = rows.schema[key].dataType.simpleString()
 
+    least = -(2**63)  # stands for null: a column with nulls would come as floats
+
     @F.pandas_udf("array<int>")
-    def ranges(keys):
-        at = np.searchsorted(array, keys.fillna(-(2**63)).to_numpy(np.int64))
-        twice = np.isin(keys.fillna(0).to_numpy(np.int64), array) & keys.notna().to_numpy()
+    def ranges(keys: pd.Series) -> pd.Series:
+        own = keys.to_numpy(np.int64)
+        at, twice = np.searchsorted(array, own), np.isin(own, array) & (own != least)
         return pd.Series([[int(a), (int(a) + 1) % len(array)] if t else [int(a)] for a, t in zip(at, twice, strict=True)])
 
-    slots = ranges(F.col(key).cast("long")) if cuts else F.array(F.lit(0))
+    slots = ranges(F.coalesce(F.col(key).cast("long"), F.lit(least))) if cuts else F.array(F.lit(0))
     placed = rows.select("*", F.posexplode(slots).alias("ghost", "slot"))
     window = Window.partitionBy("slot").orderBy("ghost", F.col(key).desc_nulls_last(), *carry)
     assert kind in ("bigint", "int", "smallint", "tinyint"), kind
