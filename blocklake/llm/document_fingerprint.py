@@ -27,12 +27,17 @@ INVERSES = tuple(pow(base, prime - 2, prime) for base, prime in zip(BASES, PRIME
 WIDTH, BINS = 16, 64
 
 
-@functools.lru_cache(maxsize=8)
+def reduced(x: np.ndarray, prime: int) -> np.ndarray:
+    """x mod prime. NumPy divides by a constant much faster than it finds remainders."""
+    return x - x // prime * prime
+
+
+@functools.lru_cache(maxsize=128)  # a few bases, a size for each power of two: twice the longest in all
 def _powers(base: int, prime: int, size: int) -> np.ndarray:
     """base**i mod prime for i < size (a power of two), by doubling."""
     out = np.ones(1, np.int64)
     while len(out) < size:
-        out = np.concatenate([out, out * (int(out[-1]) * base % prime) % prime])
+        out = np.concatenate([out, reduced(out * (int(out[-1]) * base % prime), prime)])
     return out
 
 
@@ -52,8 +57,8 @@ class Prefix:
         self.n, self.rows = len(c), []
         for base, prime in zip(BASES, PRIMES, strict=True):
             # terms stay under 2**31, so a 64-bit sum of 2**32 of them can't overflow
-            sums = np.cumsum(c * powers(base, prime, self.n)[: self.n] % prime)
-            self.rows.append(np.concatenate([np.zeros(1, np.int64), sums % prime]))
+            sums = np.cumsum(reduced(c * powers(base, prime, self.n)[: self.n], prime))
+            self.rows.append(np.concatenate([np.zeros(1, np.int64), reduced(sums, prime)]))
 
     def span(self, start: int, length: int) -> tuple[int, ...]:
         """The hashes of length code points from start, the same wherever they stand."""
@@ -70,7 +75,7 @@ class Prefix:
         out = np.zeros(count, np.int64)
         for row, inverse, prime in zip(self.rows, INVERSES, PRIMES, strict=True):
             back = powers(inverse, prime, self.n)[:count]
-            out = (out << 31) ^ ((row[width:] - row[:count]) % prime * back % prime)
+            out = (out << 31) ^ reduced(reduced(row[width:] - row[:count], prime) * back, prime)
         return out
 
 
@@ -97,9 +102,10 @@ def sketch(prefix: Prefix) -> str:
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    bins = np.full(BINS, np.iinfo(np.uint64).max)
-    np.minimum.at(bins, (mixed >> np.uint64(58)).astype(np.int64), mixed & np.uint64((1 << 58) - 1))
-    empty = bins == np.iinfo(np.uint64).max
+    mixed.sort()  # so the least of a bin is its first
+    first = np.searchsorted(mixed, np.arange(BINS, dtype=np.uint64) << np.uint64(58))
+    empty = np.diff(first, append=len(mixed)) == 0
+    bins = np.append(mixed, np.uint64(0))[first] & np.uint64((1 << 58) - 1)
     folded = (bins ^ (bins >> np.uint64(23)) ^ (bins >> np.uint64(41))) & np.uint64(0xFFFF)
     digits = folded.astype(">u2").tobytes().hex()
     cells = [digits[4 * i : 4 * i + 4] for i in range(BINS)] if not empty.any() else ["----" if e else digits[4 * i : 4 * i + 4] for i, e in enumerate(empty.tolist())]
