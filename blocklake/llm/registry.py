@@ -74,8 +74,42 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY s, payload_bytes) AS top FROM d)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM m"""
 
 
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: (kind, pattern, group of the value, least length of it, characters after the match that the pattern takes along). RE2 has no look-ahead, folds more than ASCII, and its white space lacks a character.
+_SECRETS = (
+    ("assign", f"""({'|'.join(map(_either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))})["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 12, 0),
+    ("access", "AKIA[A-Z0-9]+", 0, 18, 0),
+    ("hex", "[0-9a-f]+", 0, 16, 0),
+    ("provider", secret_scan.KINDS[3].pattern, 0, 16, 0),
+    ("url", r"://[^\x09-\x0D\x20:/@]{1,64}:([^\x09-\x0D\x20:/@]{8,128})@", 1, 8, 1),
+)
+
+
+def _secrets_sql(rank: int, pattern: str, group: int, least: int, extra: int) -> str:
+    """Matches and what lies between them alternate, so running sums of lengths give places."""
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    before = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
+    found = f"SELECT r, ms, string_split_regex(t, {pattern}) AS parts FROM (SELECT r, t, regexp_extract_all(t, {pattern}) AS ms FROM d) WHERE len(ms) > 0"
+    each = f"SELECT r, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: {before})) AS start FROM ({found})"
+    return f"SELECT r, {rank} AS rank, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) + length(m) - {extra} AS stop, regexp_extract(m, {pattern}, {group}) AS value FROM ({each}) WHERE length(regexp_extract(m, {pattern}, {group})) >= {least}"
+
+
+_SPAN = f"[{', '.join(repr(k[0]) for k in _SECRETS)}][rank + 1] || ':' || start || ':' || stop"
+OP3_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+found AS MATERIALIZED ({' UNION ALL '.join(_secrets_sql(i, *k[1:]) for i, k in enumerate(_SECRETS))}),
+owners AS (SELECT value, count(DISTINCT owner) AS n FROM found JOIN d USING (r) GROUP BY value),
+judged AS (SELECT r, n <= {secret_scan.MAX_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {secret_scan.MIN_DISTINCT} AND NOT regexp_matches(value, '(?i)example|change_?me|your|dummy|placeholder|xxxx|\\*{{4}}|12345678|abcdefgh') AS live FROM (SELECT DISTINCT r, value FROM found) JOIN owners USING (value)),
+counts AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (rank <= 2) AS base, string_agg({_SPAN}, ',' ORDER BY start, rank) AS spans FROM found GROUP BY r),
+lives AS (SELECT r, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN counts USING (r) LEFT JOIN lives USING (r)"""
+
+
 def oracle_sql() -> dict:
     """The others' methods (fuzzy search, learned rules, edit joins on whole tables, XXH64, BPE, dynamic programming) are held against brute force in tests/llm."""
     import corpus_pipeline
 
-    return {"op2_warc": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_warc": OP2_SQL, "op3_secret_scan": OP3_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
