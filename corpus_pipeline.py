@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, line dedup, SimHash near-dedup, secret scans, packing.
+"""A corpus pipeline: quality rules, line dedup, near-dedup, secret scans, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; the next stage
 reads it back from Parquet as its docs. All but the last keep the columns of
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklake.llm import line_dedup, packing, quality_rules, secret_scan, simhash
+from blocklake.llm import line_dedup, packing, quality_rules, secret_scan, shingle_join
 from blocklake.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,8 +33,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id. Documents without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """One document of each group connected by a five-word Jaccard similarity of 0.8 or more, that with the smallest id.
+
+    Documents without an id stay. The pairs are exact: fingerprints of similar texts lie too far apart for them.
+    """
+    found = shingle_join.near_duplicates(docs)
     extra = written(found.where("doc_id != component_id").select("doc_id"), "extra")
     return docs.select(*COLUMNS).join(extra, "doc_id", "left_anti")
 
