@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is never text of the page.
 SILENT_TAGS = frozenset("script style noscript template iframe object embed applet canvas svg math video audio map head title textarea button select option input".split())
+#: Of these, what holds no tags: it ends at its end tag only.
+RAW_TAGS = frozenset("script style iframe title textarea".split())
 #: Elements that hold no article text.
 BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,26 +52,87 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BLOCKS = "array<struct<text:string,heading:boolean,bad:boolean,main:boolean,chars:int,words:int,stops:int,linked:int>>"
 
 
-def named(attrs: str) -> str:
-    """What class, id, role or style say of a part: bad, good or nothing."""
-    said = ""
+def named(attrs: str) -> tuple[bool, bool, bool]:
+    """What class, id, role or style say of a part: hidden, a bad name, a good name."""
+    bad = good = False
     for name, value in _ATTRS.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "style" and _HIDDEN.search(value):
-            return "bad"
+            return True, False, False
         if name in ("class", "id", "role"):
             words = _NAMES.findall(value)
-            if not BAD_NAMES.isdisjoint(words):
-                return "bad"
-            if not GOOD_NAMES.isdisjoint(words):
-                said = "good"
-    return said
+            bad |= not BAD_NAMES.isdisjoint(words)
+            good |= not GOOD_NAMES.isdisjoint(words)
+    return False, bad, good
+
+
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the raw element that starts before a place ends; what looks like another tag in it is none."""
+    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def silent_ends(page: str) -> dict[int, int]:
+    """Where silent elements with an end tag of their own end, by where their start tags do. Those that end with the part around them are left out."""
+    out: dict[int, int] = {}
+    open_tags: list[tuple[str, int]] = []
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name = (m.group(2) or "").lower()
+        if name in VOID_TAGS or not (name in BLOCK_TAGS or name in SILENT_TAGS):
+            continue
+        last = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), -1)
+        if m.group(1):
+            if last >= 0:
+                if name in SILENT_TAGS:
+                    out[open_tags[last][1]] = at
+                del open_tags[last:]
+        elif name in RAW_TAGS:
+            at = raw_end(page, name, at)
+        elif not (m.group(3) or "").endswith("/"):
+            if name in ("option", "button") and last >= 0:  # these end one of their kind
+                del open_tags[last:]
+            open_tags.append((name, at))
+    return out
+
+
+@dataclass
+class Part:
+    """An open element. A soft part is bad by its name or as a form, unless it holds what the page is about."""
+
+    name: str
+    hard: bool = False
+    soft: bool = False
+    article: bool = False
+    main: bool = False
+    silent: bool = False
+    chars: int = 0
+    inside: int = 0
+
+
+def settle_parts(found: list[tuple[dict, list[Part]]]) -> list[dict]:
+    """The blocks with bad and main. A soft part is not bad if it is an article or holds most of the articles' text, or, on a page without articles, most of the text."""
+    total = articles = 0
+    for block, parts in found:
+        if any(p.hard for p in parts):
+            continue
+        inside = any(p.article for p in parts)
+        total += block["chars"]
+        articles += block["chars"] * inside
+        for p in parts:
+            p.chars += block["chars"]
+            p.inside += block["chars"] * inside
+    kept = lambda p: p.article or (2 * p.inside > articles if articles else 2 * p.chars > total)
+    bad = lambda p: p.hard or p.soft and not kept(p)
+    return [block | {"bad": any(map(bad, parts)), "main": any(p.main and not bad(p) for p in parts)} for block, parts in found]
 
 
 def blocks(page: str) -> list[dict]:
     """The text blocks of a page in order. Unclosed tags end with the part around them."""
-    out: list[dict] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, bad from here on, main from here on
+    out: list[tuple[dict, list[Part]]] = []
+    open_tags: list[Part] = []
+    ends = silent_ends(page)
     text: list[str] = []
     linked = links = at = 0
 
@@ -78,10 +142,9 @@ def blocks(page: str) -> list[dict]:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
                 words = whole.lower().split()
-                bad = any(b for _, b, _ in open_tags)
-                heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in open_tags)
+                heading = any(p.name in ("h1", "h2", "h3", "h4", "h5", "h6") for p in open_tags)
                 stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-                out.append({"text": whole, "heading": heading, "bad": bad, "main": any(m for _, _, m in open_tags), "chars": len(whole), "words": len(words), "stops": stops, "linked": min(linked, len(whole))})
+                out.append(({"text": whole, "heading": heading, "chars": len(whole), "words": len(words), "stops": stops, "linked": min(linked, len(whole))}, list(open_tags)))
             text.clear()
         linked = 0
 
@@ -89,7 +152,7 @@ def blocks(page: str) -> list[dict]:
         piece = page[at : m.start()]
         closing, name = m.group(1), (m.group(2) or "").lower()
         at = m.end()
-        if piece:
+        if piece and not any(p.silent for p in open_tags):
             text.append(piece)
             if links:
                 linked += len(piece.strip())
@@ -101,43 +164,50 @@ def blocks(page: str) -> list[dict]:
             if name == "a":
                 links = max(0, links - 1)
             for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == name:
+                if open_tags[i].name == name:
                     del open_tags[i:]
                     break
             continue
         attrs = m.group(3) or ""
         if name == "body":
             end_block()
-            open_tags = [t for t in open_tags if t[0] != "head"]
+            open_tags = [p for p in open_tags if p.name != "head"]
         if name in BLOCK_TAGS:
             end_block()
+            if name not in RAW_TAGS and name not in ("option", "optgroup"):  # what has no end tag ends here at last
+                unclosed = next((i for i, p in enumerate(open_tags) if p.silent), len(open_tags))
+                del open_tags[unclosed:]
             if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):  # these end one of their kind that is open
                 for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] == name:
+                    if open_tags[i].name == name:
                         del open_tags[i:]
                         break
-                    if open_tags[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "nav", "aside", "footer", "header", "form"):
+                    if open_tags[i].name in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "nav", "aside", "footer", "header", "form"):
                         break
         if name in VOID_TAGS or attrs.endswith("/"):
             if name == "br":
                 text.append(" ")
             continue
-        if name in SILENT_TAGS and name not in ("head", "select"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)  # what looks like a tag in a script is none
-            at = end.end() if end else len(page)
+        if name in RAW_TAGS:
+            at = raw_end(page, name, at)
+            continue
+        if at in ends:
+            at = ends[at]
             continue
         if name == "a":
             links += 1
-        says = named(attrs) if attrs and name not in ("html", "body") else ""
-        bad = name in BAD_TAGS or name in SILENT_TAGS or says == "bad"
-        main = not bad and (name in GOOD_TAGS or says == "good" and name in BLOCK_TAGS)
-        if name in BLOCK_TAGS or bad:
-            open_tags.append((name, bad, main))
-    if at < len(page):
+        hidden, bad, good = named(attrs) if attrs and name not in ("html", "body") else (False, False, False)
+        hard = hidden or name in BAD_TAGS and name != "form"
+        article = name in GOOD_TAGS and not hidden and (name == "main" or good or not bad)
+        main = not hard and (name in GOOD_TAGS or good and name in BLOCK_TAGS)
+        silent = name in SILENT_TAGS
+        if name in BLOCK_TAGS or hard or bad or silent:
+            open_tags.append(Part(name, hard, bad or name == "form", article, main, silent))
+    if at < len(page) and not any(p.silent for p in open_tags):
         tail = page[at:]
         text.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)  # a tag that was cut off is no text
     end_block()
-    return out
+    return settle_parts(out)
 
 
 def classify(found: str = "blocks", stop_low: float = 0.12, stop_high: float = 0.2, short: int = 70, link_limit: float = 0.33):

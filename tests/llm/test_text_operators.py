@@ -180,3 +180,33 @@ def test_html_neighbours(spark):
     page = f"<div>{long}<p>short</p>{long}</div><div><p>Tiny</p><p><a href=a>one link that is long</a></p><p>Wee</p></div>"
     r = html_extraction.extract_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
     assert r["text"].split("\n")[1] == "short" and "Wee" not in r["text"] and "link" not in r["text"]
+
+
+STORY = "<p>The text of the page is here and it is as long as it has to be for the rule, which is what we want.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<select><option>A<option>B</select><article>{STORY}</article>",
+        f"<select><option>A<option>B<article>{STORY}</article>",
+        f"<nav><button>Menu</nav><article>{STORY}</article><button>x</button>",
+        f"<div><object data=a>alt</div><article>{STORY}</article>",
+        f"<canvas>old browser<article>{STORY}</article>",
+        f"<div><svg><title>icon</title><text>no</text></svg>{STORY}</div>",
+        f"<div class='content has-sidebar'><article>{STORY}</article><div class=sidebar>Of the best of all.</div></div>",
+        f"<article class='post comments-open'>{STORY}</article>",
+        f"<form action=/><main>{STORY}</main></form>",
+        f"<form action=/><div>{STORY}</div></form><p><a href=x>Next</a></p>",
+        f"<article>{STORY}</article><section id=comments><article class=comment>{STORY * 3}</article></section>",
+    ],
+)
+def test_html_keeps_articles(page):
+    """Unclosed silent elements, and bad names and forms around the article."""
+    kept = [b["text"] for b in html_extraction.blocks(page) if not b["bad"] and not b["linked"]]
+    assert kept == [STORY[3:-4]]
+
+
+def test_html_silent_inside_a_paragraph():
+    page = "<p>a <button>B <b>c</b></button> d <noscript><p>e</p></noscript> f</p>"
+    assert [b["text"] for b in html_extraction.blocks(page)] == ["a d f"]
