@@ -58,7 +58,7 @@ class Scanner:
 
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = [
-            (n, [(at, seed.encode()) for at, seed in pieces(n.phrase, n.edits)], regex.compile(rf"(?b)\b(?:{regex.escape(n.phrase)}){{e<={n.edits}}}\b") if n.edits else None) for n in notices
+            (n, [(at, seed.encode()) for at, seed in pieces(n.phrase, n.edits)], regex.compile(rf"(?e)\b(?:{regex.escape(n.phrase)}){{e<={n.edits}}}\b") if n.edits else None) for n in notices
         ]
 
     def scan(self, text: bytes) -> tuple:
@@ -81,18 +81,27 @@ class Scanner:
                 continue
             for start, end in self._windows(norm, seeds, len(notice.phrase), notice.edits):
                 window = norm[start:end].decode("utf-8", "replace")
-                for m in pattern.finditer(window):
+                for m in self._best(window, pattern, notice.fixed):
                     hit = m.group()
-                    if set(notice.fixed) <= set(hit.split()):
-                        first = norm.count(b" ", 0, start + len(window[: m.start()].encode())) - 1
-                        labels.add((notice.label, False))
-                        edits = sum(m.fuzzy_counts)
-                        score = max(score, 1 - edits / len(notice.phrase))
-                        found.append((notice.label, first, first + hit.count(" ") + 1, edits, hit))
+                    first = norm.count(b" ", 0, start + len(window[: m.start()].encode())) - 1
+                    labels.add((notice.label, False))
+                    edits = sum(m.fuzzy_counts)
+                    score = max(score, 1 - edits / len(notice.phrase))
+                    found.append((notice.label, first, first + hit.count(" ") + 1, edits, hit))
         base = sorted({label for label, is_base in labels if is_base})
         every = sorted({label for label, _ in labels})
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(every), score, [dict(zip(("label", "start_word", "end_word", "edits", "text"), x, strict=True)) for x in sorted(found)]
 
+    @staticmethod
+    def _best(window: str, pattern: regex.Pattern, fixed: tuple[str, ...]) -> list[regex.Match]:
+        """The matches from every start that hold the fixed words; of those that overlap, the one with the fewest edits."""
+        out: list[regex.Match] = []
+        matches = [m for m in pattern.finditer(window, overlapped=True) if set(fixed) <= set(m.group().split())]
+        for m in sorted(matches, key=lambda m: (sum(m.fuzzy_counts), m.start())):
+            if all(m.end() <= o.start() or o.end() <= m.start() for o in out):
+                out.append(m)
+        return out
+
     @staticmethod
     def _windows(norm: bytes, seeds: list[tuple[int, bytes]], length: int, edits: int) -> list[tuple[int, int]]:
         """Parts of norm, from word to word, that can hold a match: around every exact seed, overlapping ones joined."""

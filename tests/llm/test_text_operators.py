@@ -54,6 +54,17 @@ def test_pieces_find_every_fuzzy_match():
         assert ("mit" in scanner.scan(t.encode())[5]) == want, t
 
 
+def test_licenses_side_by_side():
+    """Worse matches before better ones, and matches without the fixed words beside others with them."""
+    mit = lambda t: [(m["start_word"], m["edits"]) for m in license_scan.Scanner().scan(t.encode())[7] if m["label"] == "mit"]
+    assert mit("under teh mit license or under the mit license") == [(0, 2), (5, 0)]
+    assert mit("under te mit licens and under the bit license") == [(0, 2)]
+    assert mit("under the bit license and under te mit licens") == [(5, 2)]
+    gpl = "gnu general public license version 2 or gnu generl public licence version 3"
+    assert license_scan.Scanner().scan(gpl.encode())[5] == "gpl-2,gpl-3"
+    assert license_scan.Scanner().scan(b"gnu generl public licence version 3 or gnu general public license version 2")[5] == "gpl-2,gpl-3"
+
+
 @pytest.mark.parametrize("chunk, overlap", [(32_768, 1_024), (64, 24), (16, 8)])
 def test_bpe(spark, chunk, overlap):
     with open(VOCABULARY, "rb") as lines:
