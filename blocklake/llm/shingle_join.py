@@ -22,8 +22,8 @@ from blocklake.llm.simhash import CROWD, shingle_hashes
 WIDTH = 5
 #: The least similarity, as a fraction of whole numbers.
 SHARE = (4, 5)
-#: Bits of the parities of a set.
-PARITIES = 1024
+#: Bits of the parities of a set, and of those that long sets are compared by before they meet as a whole.
+PARITIES, WIDE = 1024, 8192
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> tuple[int, int, np.ndarray]:
@@ -33,13 +33,17 @@ def shingle_set(text: bytes, width: int = WIDTH) -> tuple[int, int, np.ndarray]:
     return h1, h2, found
 
 
+def parities(found: np.ndarray, bits: int) -> list[int]:
+    """The parities of how many hashes fall on each bit."""
+    return np.packbits((np.bincount((found % bits).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<i8").tolist()
+
+
 def marks(text: bytes, width: int = WIDTH, share: tuple[int, int] = SHARE) -> tuple[int, int, int, list[int], list[int]]:
     """128 bits of the set, its size, its first shingles and the parities of how many hashes fall on each of PARITIES bits."""
     h1, h2, found = shingle_set(text, width)
     n = len(found)
     first = found[: n - -(-share[0] * n // share[1]) + 1]
-    parities = np.packbits((np.bincount((found % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view("<i8")
-    return h1, h2, n, first.view(np.int64).tolist(), parities.tolist()
+    return h1, h2, n, first.view(np.int64).tolist(), parities(found, PARITIES)
 
 
 def _sized(p, q, share: tuple[int, int]) -> Column:
@@ -64,10 +68,12 @@ def _verified(candidates: DataFrame, unique: DataFrame, tagged: DataFrame, width
 
     def row(t: bytes) -> tuple:
         h1, h2, found = shingle_set(t, width)
-        return h1, h2, found.view(np.int64).tolist()
+        return h1, h2, found.view(np.int64).tolist(), parities(found, WIDE)
 
-    sets = map_rows(texts, row, "h1 long, h2 long, found array<long>").dropDuplicates(["h1", "h2"])
-    sets = written(sets.join(ends, ["h1", "h2"]).select("id", "found"), "sets")
+    sets = map_rows(texts, row, "h1 long, h2 long, found array<long>, wide array<long>")
+    sets = written(sets.join(if_small(ends.drop("tag")), ["h1", "h2"]).select("id", "found", "wide").dropDuplicates(["id"]), "sets")
+    p, q = sets.select(F.col("id").alias("a"), F.col("wide").alias("p")), sets.select(F.col("id").alias("b"), F.col("wide").alias("q"))
+    left = written(left.join(p, "a").join(q, "b").where(_even(F.col("p"), F.col("q"), F.col("m") + F.col("n"), share)).select("a", "b", "m", "n"), "fitting")
     x, y = sets.select(F.col("id").alias("a"), F.col("found").alias("x")), sets.select(F.col("id").alias("b"), F.col("found").alias("y"))
     common = F.size(F.array_intersect("x", "y")) * (share[0] + share[1])
     return written(left.join(x, "a").join(y, "b").where(common >= (F.col("m") + F.col("n")) * share[0]).select("a", "b"), "similar")
