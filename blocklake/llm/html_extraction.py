@@ -1,18 +1,18 @@
 """HTML main text by two-pass block rules.
 
-A small helper cuts a page into text blocks and counts characters, words, stop
-words and linked characters of each. The rules are Spark expressions over the
-array of blocks. Pass one decides by stop-word density, length and link density;
-blocks in parts that name their role (menus, footers, forms, comments ...) are
-bad at once. Pass two gives each ambiguous short block the label of its nearest
-decided neighbours.
+A helper cuts a page into text blocks and counts characters, words, stop words and
+linked characters of each. Pass one scores a block by stop-word density, length and
+link density; the element it stands in and the names of that element's class or id
+shift the score. Pass two gives each ambiguous block the label of its nearest decided
+neighbours. Every step takes time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,224 +34,350 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 SILENT_TAGS = frozenset("script style noscript template iframe object embed applet canvas svg math video audio map head title textarea button select option input".split())
 #: Of these, what holds no tags: it ends at its end tag only.
 RAW_TAGS = frozenset("script style iframe title textarea".split())
-#: Elements that hold no article text.
-BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
+#: Elements that hold no article text, wherever they stand; a form or a header may hold the article itself.
+BAD_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role of a part that is not the article.
-BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer sidebar side aside widget related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond discussion form search copyright disclaimer toolbar complementary contentinfo skip".split())
+#: Elements that end one of their kind that is still open, and what they can't reach beyond.
+SELF_ENDING = frozenset("p li dt dd td th tr option button".split())
+BOUNDS = frozenset("ul ol dl table div article section main nav aside footer header form".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Words at either end of a class or id that say what a part is, unless it holds most of the page.
+STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer sidebar widget share sharing comment comments commentlist disqus reply replies respond copyright toolbar".split())
+#: Words that an article's own parts can have as well: they only lower the score.
+WEAK_NAMES = frozenset("related recommended recommendations discussion social header menu form search side aside disclaimer skip".split())
+#: Before these a name says what a part has or lacks, not what it is.
+MODIFIERS = frozenset("has no with without is not non hide show".split())
+BAD_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 #: Elements that the article as a whole stands in, and words in class or id that say so.
 GOOD_TAGS = frozenset(("article", "main"))
 GOOD_NAMES = frozenset(("article", "content", "entry", "story", "post", "main"))
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRS = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_NAMES = re.compile(r"[a-z]+")
+#: Stop words to words of a likely and of a possible article block; characters of a short block; the share of linked characters that speaks against one.
+STOP_HIGH, STOP_LOW, SHORT, LINK_LIMIT = 0.2, 0.12, 70, 0.33
+
+_MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+_ATTR = re.compile(r"""[\s/]*+(?:([^\s=>/"'][^\s=>/]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*+))?)?|["'=])""")
+_CLOSE = re.compile(r"[\s/]*+>?")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW_TAGS}
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-BLOCKS = "array<struct<text:string,heading:boolean,bad:boolean,main:boolean,chars:int,words:int,stops:int,linked:int>>"
-
 
-def named(attrs: str) -> tuple[bool, bool, bool]:
-    """What class, id, role or style say of a part: hidden, a bad name, a good name."""
-    bad = good = False
-    for name, value in _ATTRS.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "style" and _HIDDEN.search(value):
-            return True, False, False
-        if name in ("class", "id", "role"):
-            words = _NAMES.findall(value)
-            bad |= not BAD_NAMES.isdisjoint(words)
-            good |= not GOOD_NAMES.isdisjoint(words)
-    return False, bad, good
+@dataclass(slots=True)
+class Tag:
+    """A tag or what else is no text. name is empty for comments, declarations and raw elements."""
 
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    empty: bool = False
+    attrs: dict[str, str] = field(default_factory=dict)
 
-def raw_end(page: str, name: str, at: int) -> int:
-    """Where the raw element that starts before a place ends; what looks like another tag in it is none."""
-    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-    return end.end() if end else len(page)
 
-
-def silent_ends(page: str) -> dict[int, int]:
-    """Where silent elements with an end tag of their own end, by where their start tags do. Those that end with the part around them are left out."""
-    out: dict[int, int] = {}
-    open_tags: list[tuple[str, int]] = []
+def tags(page: str) -> Iterator[Tag]:
+    """Everything in a page that is no text. A tag that is cut off reaches to the end."""
     at = 0
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        if name in VOID_TAGS or not (name in BLOCK_TAGS or name in SILENT_TAGS):
+    while m := _MARK.search(page, at):
+        start, at, name = m.start(), m.end(), (m.group(2) or "").lower()
+        if not name:
+            ends, sought = (3, page.find("-->", start + 2)) if m.group(3) else (1, page.find(">", at))
+            at = sought + ends if sought >= 0 else len(page)
+            yield Tag(start, at)
             continue
-        last = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), -1)
-        if m.group(1):
-            if last >= 0:
-                if name in SILENT_TAGS:
-                    out[open_tags[last][1]] = at
-                del open_tags[last:]
-        elif name in RAW_TAGS:
-            at = raw_end(page, name, at)
-        elif not (m.group(3) or "").endswith("/"):
-            if name in ("option", "button") and last >= 0:  # these end one of their kind
-                del open_tags[last:]
-            open_tags.append((name, at))
-    return out
-
-
-@dataclass
+        attrs: dict[str, str] = {}
+        while a := _ATTR.match(page, at):
+            at = a.end()
+            if a.group(1):
+                attrs.setdefault(a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or "")
+        close = _CLOSE.match(page, at).group()
+        at += len(close)
+        if not close.endswith(">"):
+            yield Tag(start, len(page))
+            return
+        empty = "/" in close
+        if name in RAW_TAGS and not m.group(1) and not empty:
+            end = _RAW_ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
+            name = ""
+        yield Tag(start, at, name, bool(m.group(1)), empty, attrs)
+
+
+@dataclass(slots=True, eq=False)
 class Part:
-    """An open element. A soft part is bad by its name or as a form, unless it holds what the page is about."""
+    """An open element. Its names do not count if it is the article, or holds most of its text, or most of a page without any."""
 
     name: str
+    parent: Part | None = None
+    hidden: bool = False
     hard: bool = False
-    soft: bool = False
+    strong: bool = False
+    weak: bool = False
     article: bool = False
     main: bool = False
     silent: bool = False
+    inside: bool = False
     chars: int = 0
-    inside: int = 0
+    article_chars: int = 0
+
+
+class Open:
+    """The open elements: the last of a name, of the bounds and of the silent ones is at hand without a search."""
+
+    def __init__(self):
+        self.parts: list[Part] = []
+        self.places: dict[str, list[int]] = {}
+        self.bounds: list[int] = []
+        self.silent: list[int] = []
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def push(self, part: Part) -> None:
+        at = len(self.parts)
+        self.parts.append(part)
+        self.places.setdefault(part.name, []).append(at)
+        if part.name in BOUNDS:
+            self.bounds.append(at)
+        if part.silent:
+            self.silent.append(at)
+
+    def cut(self, at: int) -> None:
+        """Ends the elements from a place on."""
+        while len(self.parts) > at:
+            part = self.parts.pop()
+            self.places[part.name].pop()
+            if part.name in BOUNDS:
+                self.bounds.pop()
+            if part.silent:
+                self.silent.pop()
+
+    def end_own_kind(self, name: str) -> None:
+        at = self.last(name)
+        if at >= 0 and (not self.bounds or self.bounds[-1] < at):
+            self.cut(at)
+
+
+def silent_ends(found: list[Tag]) -> dict[int, int]:
+    """For silent elements with an end tag of their own: the number of that tag by that of the start tag. The others end with the part around them."""
+    out, numbers, stack = {}, [], Open()
+    for i, tag in enumerate(found):
+        name = tag.name
+        if name in VOID_TAGS or not (name in BLOCK_TAGS or name in SILENT_TAGS):
+            continue
+        last = stack.last(name)
+        if tag.closing:
+            if last >= 0:
+                if name in SILENT_TAGS:
+                    out[numbers[last]] = i
+                stack.cut(last)
+        elif not tag.empty:
+            if name in ("option", "button") and last >= 0:  # these end one of their kind
+                stack.cut(last)
+            stack.push(Part(name))
+        del numbers[len(stack.parts) :]
+        if not tag.closing and len(numbers) < len(stack.parts):
+            numbers.append(i)
+    return out
+
+
+def named(attrs: dict[str, str]) -> tuple[bool, bool, bool, bool]:
+    """What attributes say of a part: hidden, a strong name, a weak name, a good name."""
+    if not attrs:
+        return False, False, False, False
+    hidden = "hidden" in attrs or bool(_HIDDEN.search(attrs.get("style", "")))
+    role = attrs.get("role", "").lower()
+    strong, weak, good = role in BAD_ROLES, False, role in GOOD_TAGS
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = _NAME.findall(token)
+        if words and words[0].lower() not in MODIFIERS:
+            for word in (words[0].lower(), words[-1].lower()):
+                strong |= word in STRONG_NAMES
+                weak |= word in WEAK_NAMES
+                good |= word in GOOD_NAMES
+    return hidden, strong, weak, good
+
+
+@dataclass(slots=True)
+class Block:
+    """A text block. bad: hidden, or in a part that is not the article's; group: the part within which its neighbours count."""
+
+    text: str
+    part: Part | None
+    heading: bool
+    words: int
+    stops: int
+    linked: int
+    bad: bool = False
+    weak: bool = False
+    main: bool = False
+    group: object = None
 
 
-def settle_parts(found: list[tuple[dict, list[Part]]]) -> list[dict]:
-    """The blocks with bad and main. A soft part is not bad if it is an article or holds most of the articles' text, or, on a page without articles, most of the text."""
+def settle_parts(parts: list[Part], found: list[Block]) -> None:
+    """Sets bad, weak, main and group of the blocks. parts come in the order in which they were opened."""
     total = articles = 0
-    for block, parts in found:
-        if any(p.hard for p in parts):
-            continue
-        inside = any(p.article for p in parts)
-        total += block["chars"]
-        articles += block["chars"] * inside
-        for p in parts:
-            p.chars += block["chars"]
-            p.inside += block["chars"] * inside
-    kept = lambda p: p.article or (2 * p.inside > articles if articles else 2 * p.chars > total)
-    bad = lambda p: p.hard or p.soft and not kept(p)
-    return [block | {"bad": any(map(bad, parts)), "main": any(p.main and not bad(p) for p in parts)} for block, parts in found]
-
-
-def blocks(page: str) -> list[dict]:
-    """The text blocks of a page in order. Unclosed tags end with the part around them."""
-    out: list[tuple[dict, list[Part]]] = []
-    open_tags: list[Part] = []
-    ends = silent_ends(page)
+    for b in found:
+        p = b.part
+        if p is None or not p.hard:
+            total += len(b.text)
+            articles += len(b.text) * (p is not None and p.inside)
+            if p is not None:
+                p.chars += len(b.text)
+                p.article_chars += len(b.text) * p.inside
+    for p in reversed(parts):
+        if p.parent is not None:
+            p.parent.chars += p.chars
+            p.parent.article_chars += p.article_chars
+    state: dict[int, tuple[bool, bool, bool, Part | None]] = {}
+    for p in parts:
+        bad, weak, main, lowest = state[id(p.parent)] if p.parent is not None else (False, False, False, None)
+        kept = p.article or (2 * p.article_chars > articles if articles else 2 * p.chars > total)
+        strong = p.hard or p.strong and not kept
+        if p.weak and not kept:
+            weak, lowest = True, p
+        state[id(p)] = (bad or strong, weak, main or p.main and not strong, lowest)
+    for b in found:
+        b.bad, b.weak, b.main, part = state[id(b.part)] if b.part is not None else (False, False, False, None)
+        b.group = id(part) if part is not None else b.main
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order. Unclosed elements end with the part around them."""
+    out: list[Block] = []
+    parts: list[Part] = []
+    found, stack = list(tags(page)), Open()
+    ends = silent_ends(found)
     text: list[str] = []
-    linked = links = at = 0
+    linked = at = i = 0
+    link_depth = -1  # of the open elements around a link that is open
 
     def end_block() -> None:
         nonlocal linked
         if text:
-            whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
                 words = whole.lower().split()
-                heading = any(p.name in ("h1", "h2", "h3", "h4", "h5", "h6") for p in open_tags)
                 stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-                out.append(({"text": whole, "heading": heading, "chars": len(whole), "words": len(words), "stops": stops, "linked": min(linked, len(whole))}, list(open_tags)))
+                out.append(Block(whole, stack.parts[-1] if stack.parts else None, any(stack.last(h) >= 0 for h in HEADINGS), len(words), stops, min(linked, len(whole))))
             text.clear()
         linked = 0
 
-    while m := _TOKEN.search(page, at):
-        piece = page[at : m.start()]
-        closing, name = m.group(1), (m.group(2) or "").lower()
-        at = m.end()
-        if piece and not any(p.silent for p in open_tags):
+    while i <= len(found):
+        stop = found[i].start if i < len(found) else len(page)
+        if stop > at and not stack.silent:
+            piece = page[at:stop]
+            piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if links:
+            if link_depth >= 0:
                 linked += len(piece.strip())
+        if i == len(found):
+            break
+        tag, number = found[i], i
+        i, at, name = i + 1, tag.end, tag.name
         if not name:
             continue
-        if closing:
+        if tag.closing:
             if name in BLOCK_TAGS:
                 end_block()
             if name == "a":
-                links = max(0, links - 1)
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i].name == name:
-                    del open_tags[i:]
-                    break
+                link_depth = -1
+            if (last := stack.last(name)) >= 0:
+                stack.cut(last)
+        else:
+            if name in BLOCK_TAGS:
+                end_block()
+                if stack.silent and name not in ("option", "optgroup"):  # what has no end tag ends here at last
+                    stack.cut(stack.silent[0])
+            if name in SELF_ENDING:
+                stack.end_own_kind(name)
+        if len(stack.parts) < link_depth:  # a link without an end ends with the part around it
+            link_depth = -1
+        if tag.closing:
             continue
-        attrs = m.group(3) or ""
-        if name == "body":
-            end_block()
-            open_tags = [p for p in open_tags if p.name != "head"]
-        if name in BLOCK_TAGS:
-            end_block()
-            if name not in RAW_TAGS and name not in ("option", "optgroup"):  # what has no end tag ends here at last
-                unclosed = next((i for i, p in enumerate(open_tags) if p.silent), len(open_tags))
-                del open_tags[unclosed:]
-            if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):  # these end one of their kind that is open
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i].name == name:
-                        del open_tags[i:]
-                        break
-                    if open_tags[i].name in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "nav", "aside", "footer", "header", "form"):
-                        break
-        if name in VOID_TAGS or attrs.endswith("/"):
+        if name in VOID_TAGS:
             if name == "br":
                 text.append(" ")
             continue
-        if name in RAW_TAGS:
-            at = raw_end(page, name, at)
-            continue
-        if at in ends:
-            at = ends[at]
+        if name in SILENT_TAGS:
+            if number in ends:
+                i = ends[number] + 1
+                at = found[i - 1].end
+                continue
+            if tag.empty:
+                continue
+        if name == "a" and "href" in tag.attrs:
+            link_depth = len(stack.parts)
+        hidden, strong, weak, good = named(tag.attrs) if name not in ("html", "body") else (False, False, False, False)
+        if name not in BLOCK_TAGS and name not in SILENT_TAGS and not (hidden or strong or weak):
             continue
-        if name == "a":
-            links += 1
-        hidden, bad, good = named(attrs) if attrs and name not in ("html", "body") else (False, False, False)
-        hard = hidden or name in BAD_TAGS and name != "form"
-        article = name in GOOD_TAGS and not hidden and (name == "main" or good or not bad)
-        main = not hard and (name in GOOD_TAGS or good and name in BLOCK_TAGS)
-        silent = name in SILENT_TAGS
-        if name in BLOCK_TAGS or hard or bad or silent:
-            open_tags.append(Part(name, hard, bad or name == "form", article, main, silent))
-    if at < len(page) and not any(p.silent for p in open_tags):
-        tail = page[at:]
-        text.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)  # a tag that was cut off is no text
+        around = stack.parts[-1] if stack.parts else None
+        article = name in GOOD_TAGS and not hidden and (name == "main" or good or not (strong or weak))
+        inside = article or around is not None and around.inside
+        loose = name == "form" or name == "header" and not inside
+        hard = hidden or name in BAD_TAGS or around is not None and around.hard
+        part = Part(name, around, hidden, hard, strong or loose, weak, article, not hard and (name in GOOD_TAGS and article or good and not (strong or weak) and name in BLOCK_TAGS), name in SILENT_TAGS, inside)
+        parts.append(part)
+        stack.push(part)
     end_block()
-    return settle_parts(out)
-
-
-def classify(found: str = "blocks", stop_low: float = 0.12, stop_high: float = 0.2, short: int = 70, link_limit: float = 0.33):
-    """The array of blocks with pass one's label: good and bad are decided; near (some stop words) and short are ambiguous."""
+    settle_parts(parts, out)
+    return out
 
-    def label(b):
-        density = b["stops"] / b["words"]
-        return (
-            F.when(b["bad"] | (b["linked"] / b["chars"] > link_limit), "bad")
-            .when(b["heading"], "short")
-            .when(b["chars"] < short, F.when((b["linked"] > 0) & ~b["main"], "bad").otherwise("short"))
-            .when(density >= stop_high, "good")
-            .when(density >= stop_low, "near")
-            .otherwise(F.when(b["main"], "short").otherwise("bad"))
-        )
 
-    return F.transform(found, lambda b: F.struct(b["text"].alias("text"), (b["main"] & ~b["bad"]).alias("main"), label(b).alias("label")))
+def label(b: Block) -> str:
+    """Pass one: good and bad are decided; near (some evidence) and short are ambiguous."""
+    density, links = b.stops / b.words, b.linked / len(b.text)
+    if b.bad:
+        return "bad"
+    if b.heading or len(b.text) < SHORT:
+        return "bad" if (b.weak and (links > LINK_LIMIT or not b.main)) or (b.linked and not b.main) else "short"
+    score = (density >= STOP_HIGH) + (density >= STOP_LOW) - 2 * (links > LINK_LIMIT) + b.main - 2 * b.weak
+    if score >= 1:
+        return "good" if score >= 2 else "near"
+    return "short" if b.main and not (b.weak and links > LINK_LIMIT) else "bad"
 
 
-def settle():
-    """Pass two: the blocks of column labelled that stay.
+def kept(found: list[Block]) -> list[bool]:
+    """Pass two: which blocks stay.
 
-    An ambiguous block looks at the nearest decided blocks before and after it in its own part of the page
-    (inside or outside the article element): it takes the label they share, or else that of the nearer one, the
-    first if both are as near; a near-good one stays beside any good one. Without decided neighbours it stays if
-    it is in the article, or if the page marks none.
+    An ambiguous block looks at the nearest decided blocks before and after it in its own group: it takes the
+    label that they share, or else that of the nearer one, the first if both are as near; a near one stays beside
+    any good one. Without decided neighbours it stays if it is in the article, or if the page marks none.
     """
-    good = lambda d: F.coalesce(d["label"] == "good", F.lit(False))
-
-    def keep(b, i):
-        own = F.when(b["main"], F.col("decided")[True]).otherwise(F.col("decided")[False])
-        before = F.try_element_at(F.filter(own, lambda d: d["i"] < i), F.lit(-1))
-        after = F.get(F.filter(own, lambda d: d["i"] > i), 0)
-        nearer = after.isNull() | (before.isNotNull() & (i - before["i"] <= after["i"] - i))
-        between = F.when(b["label"] == "near", good(before) | good(after)).otherwise(F.when(nearer, good(before)).otherwise(good(after)))
-        return F.when(b["label"] == "good", True).when(b["label"] == "bad", False).when(before.isNull() & after.isNull(), b["main"] | ~F.col("marked")).otherwise(between)
-
-    return F.filter("labelled", keep)
+    labels = [label(b) for b in found]
+    marked = any(b.main and not b.bad for b in found)
+
+    def nearest(order) -> list[tuple[int, bool] | None]:
+        seen: dict = {}
+        out: list = [None] * len(found)
+        for i in order:
+            out[i] = seen.get(found[i].group)
+            if labels[i] in ("good", "bad") and not found[i].bad:
+                seen[found[i].group] = (i, labels[i] == "good")
+            elif found[i].bad:
+                seen[False] = (i, False)
+        return out
+
+    befores, afters = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
+    out = []
+    for i, (b, mark, before, after) in enumerate(zip(found, labels, befores, afters, strict=True)):
+        if mark in ("good", "bad"):
+            out.append(mark == "good")
+        elif before is None and after is None:
+            out.append(b.main or not marked and not b.weak)
+        elif mark == "near":
+            out.append(any(x is not None and x[1] for x in (before, after)))
+        else:
+            nearer = before if after is None or before is not None and i - before[0] <= after[0] - i else after
+            out.append(nearer[1])
+    return out
 
 
-def decided(main: bool):
-    """Place and label of the decided blocks of one part."""
-    placed = F.transform("labelled", lambda b, i: F.struct(i.alias("i"), b["label"].alias("label"), b["main"].alias("main")))
-    return F.filter(placed, lambda d: d["label"].isin("good", "bad") & (d["main"] == main))
+def main_text(page: str) -> str:
+    """The blocks that stay, joined by a line feed."""
+    found = blocks(page)
+    return "\n".join(b.text for b, stays in zip(found, kept(found), strict=True) if stays)
 
 
 def extract_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), page: str = "html") -> DataFrame:
@@ -262,8 +388,10 @@ def extract_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), p
     """
     kinds = ", ".join(f"k{i} {pages.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
     columns = pages.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.coalesce(page, F.lit("")).alias("page"))
-    cut = map_rows(columns, lambda *v: (*v[:-1], blocks(v[-1])), f"{kinds}, blocks {BLOCKS}")
-    labelled = cut.withColumn("labelled", classify()).withColumn("marked", F.exists("labelled", lambda b: b["main"]))
-    texts = labelled.withColumn("decided", F.create_map(F.lit(True), decided(True), F.lit(False), decided(False))).withColumn("kept", settle())
-    text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    return texts.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+    def row(*values):
+        text = main_text(values[-1])
+        return (*values[:-1], text, len(text))
+
+    found = map_rows(columns, row, f"{kinds}, text string, n_chars long")
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "text", "n_chars")

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import html
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -194,30 +196,94 @@ def test_html_neighbours(spark):
 
 
 STORY = "<p>The text of the page is here and it is as long as it has to be for the rule, which is what we want.</p>"
+TALE = STORY[3:-4]
 
 
 @pytest.mark.parametrize(
-    "page",
+    "page, rest",
     [
-        f"<select><option>A<option>B</select><article>{STORY}</article>",
-        f"<select><option>A<option>B<article>{STORY}</article>",
-        f"<nav><button>Menu</nav><article>{STORY}</article><button>x</button>",
-        f"<div><object data=a>alt</div><article>{STORY}</article>",
-        f"<canvas>old browser<article>{STORY}</article>",
-        f"<div><svg><title>icon</title><text>no</text></svg>{STORY}</div>",
-        f"<div class='content has-sidebar'><article>{STORY}</article><div class=sidebar>Of the best of all.</div></div>",
-        f"<article class='post comments-open'>{STORY}</article>",
-        f"<form action=/><main>{STORY}</main></form>",
-        f"<form action=/><div>{STORY}</div></form><p><a href=x>Next</a></p>",
-        f"<article>{STORY}</article><section id=comments><article class=comment>{STORY * 3}</article></section>",
+        (f"<select><option>A<option>B</select><article>{STORY}</article>", ""),
+        (f"<select><option>A<option>B<article>{STORY}</article>", ""),
+        (f"<nav><button>Menu</nav><article>{STORY}</article><button>x</button>", ""),
+        (f"<div><object data=a>alt</div><article>{STORY}</article>", ""),
+        (f"<canvas>old browser<article>{STORY}</article>", ""),
+        (f"<div><svg><title>icon</title><text>no</text></svg>{STORY}</div>", ""),
+        (f"<div class='content has-sidebar'><article>{STORY}</article><div class=sidebar>Of the best of all.</div></div>", ""),
+        (f"<div class='content no-sidebar'>{STORY}</div>", ""),
+        (f"<div class='post has-comments'>{STORY}</div>", ""),
+        (f"<article class='post comments-open'>{STORY}</article>", ""),
+        (f"<form action=/><main>{STORY}</main></form>", ""),
+        (f"<form action=/><div>{STORY}</div></form><p><a href=x>Next</a></p>", ""),
+        (f"<article>{STORY}</article><section id=comments><article class=comment>{STORY * 3}</article></section>", ""),
+        (f"<article>{STORY}<p title='a hidden gem' data-id=share-1>one</p></article>", "one"),
+        (f"<header><a href=/>Site</a></header><article>{STORY}<header><h2>Part</h2></header></article>", "Part"),
+        (f"<article>{STORY}<section class=related-work><h2>Work</h2>{STORY}</section><div id=discussion>{STORY}</div></article>", f"Work\n{TALE}\n{TALE}"),
+        (f"<article>{STORY}<div class=related><h3>Related</h3><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div></article>", ""),
+        (f"<article>{STORY}<p>See <a href=x>the long title of a paper that is cited here and that has more words still</a></p></article>", "See the long title of a paper that is cited here and that has more words still"),
+        (f'<article>{STORY}<p class=x">Hello', "Hello"),
+        (f"<div>{STORY}<p><a href=x>left open</p><div>{STORY}{STORY}</div></div>", f"{TALE}\n{TALE}"),
     ],
 )
-def test_html_keeps_articles(page):
-    """Unclosed silent elements, and bad names and forms around the article."""
-    kept = [b["text"] for b in html_extraction.blocks(page) if not b["bad"] and not b["linked"]]
-    assert kept == [STORY[3:-4]]
+def test_html_keeps_articles(page, rest):
+    """Unclosed elements, misleading attributes, bad names and forms around and inside the article."""
+    assert html_extraction.main_text(page) == "\n".join(filter(None, (TALE, rest)))
 
 
 def test_html_silent_inside_a_paragraph():
-    page = "<p>a <button>B <b>c</b></button> d <noscript><p>e</p></noscript> f</p>"
-    assert [b["text"] for b in html_extraction.blocks(page)] == ["a d f"]
+    assert html_extraction.main_text("<p>a <button>B <b>c</b></button> d <noscript><p>e</p></noscript> f &am<b>p; g</b></p>") == "a d f &amp; g"
+
+
+HOSTILE = ['<p class="' * 100_000, "<p class='x\" " * 80_000, "<div>" * 200_000 + "x", "<div>" * 100_000 + "</p>" * 100_000, "<option>" * 120_000, "<b class=ad>" * 80_000 + "<p>" * 80_000, "<" * 1_000_000, "<a " * 300_000, "<!--" * 250_000, "<p>short" * 100_000, "<textarea>" * 100_000, "<canvas>" * 90_000 + "<div>" * 30_000, "<a" + " " * 1_000_000, "<h1>" * 90_000 + "x<p>" * 50_000]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=lambda p: p[:12])
+def test_html_takes_linear_time(page):
+    took = []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        html_extraction.main_text(part)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1  # four times the text; the square would be sixteen
+
+
+def test_html_neighbours_against_brute_force():
+    """Pass two on random blocks, against a search through all others for each."""
+    r = random.Random(5)
+    for _ in range(300):
+        found = []
+        for _ in range(r.randrange(1, 14)):
+            words = r.randrange(1, 30)
+            main = r.random() < 0.4
+            found.append(html_extraction.Block("w" * words * 4, None, r.random() < 0.1, words, r.randrange(words + 1) // 3, r.choice((0, 0, words)), r.random() < 0.2, False, main, main))
+        marks = [html_extraction.label(b) for b in found]
+        part = [b.main and not b.bad for b in found]
+        want = []
+        for i, mark in enumerate(marks):
+            decided = [(abs(j - i), j > i, marks[j] == "good") for j in range(len(found)) if marks[j] in ("good", "bad") and part[j] == part[i]]
+            sides = [min((x for x in decided if x[1] == side), default=None) for side in (False, True)]
+            if mark in ("good", "bad"):
+                want.append(mark == "good")
+            elif not decided:
+                want.append(part[i] or not any(part))
+            elif mark == "near":
+                want.append(any(x and x[2] for x in sides))
+            else:
+                want.append(min(x for x in sides if x)[2])
+        assert html_extraction.kept(found) == want
+
+
+def test_html_over_whole_pages(spark):
+    """Every page of a table against a plain cut through its article; then the rules alone, without any telling element or name."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    clean = lambda x: " ".join(html.unescape(re.sub("<[^>]*>", "", x)).split())
+    articles = [[x for x in map(clean, re.split("</?(?:p|h1)>", re.search("<article>(.*?)</article>", r["html"], re.S)[1].replace("<br>", " "))) if x] for r in rows]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert got == {r["page_id"]: "\n".join(a) for r, a in zip(rows, articles, strict=True)}
+    links = words = kept_words = 0
+    for r, article in zip(rows, articles, strict=True):
+        plain = re.sub("<(/?)(?:nav|article|footer)>", r"<\1div>", r["html"].replace(' class="ad"', ""))
+        lines = html_extraction.main_text(plain).split("\n")
+        links += len(set(map(clean, re.findall("<li>.*?</li>", r["html"]))) & set(lines) - set(article))
+        words += sum(len(x.split()) for x in article)
+        kept_words += sum(len(x.split()) for x in lines if x in article)
+    assert links == 0 and kept_words >= 0.85 * words
