@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,73 +55,82 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
 
 
 class Scanner:
-    """Finds notices in one text; built once per task."""
+    """Finds notices in one text; built once per task. The time is in proportion to the text and its seeds."""
 
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
-        self.notices = [
-            (n, [(at, seed.encode()) for at, seed in pieces(n.phrase, n.edits)], regex.compile(rf"(?e)\b(?:{regex.escape(n.phrase)}){{e<={n.edits}}}\b") if n.edits else None) for n in notices
-        ]
+        # a match stands between spaces; from a given start, (?b) finds the one with the fewest edits
+        verify = lambda n: regex.compile(rf"(?b)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?![^ ])") if n.edits else None
+        self.notices = [(n, [(at, seed.encode()) for at, seed in pieces(n.phrase, n.edits)], verify(n)) for n in notices]
 
     def scan(self, text: bytes) -> tuple:
         words = text.translate(_SPLIT).split()
         norm = b" %b " % b" ".join(words)
-        places, labels, found, score = [], set(), [], 0.0
+        places, base, labels, found, score = [], set(), set(), [], 0.0
+        spaces: np.ndarray | None = None
         for notice, seeds, pattern in self.notices:
-            exact = b" %b " % notice.phrase.encode()
-            at = norm.find(exact)
-            if at >= 0 and (notice.base or pattern is None):
-                labels.add((notice.label, notice.base))
-                score = 1.0
-            while at >= 0:
-                if notice.base:
-                    places.append(norm.count(b" ", 0, at + 1) - 1)
-                if pattern is None:
-                    found.append((notice.label, norm.count(b" ", 0, at + 1) - 1, norm.count(b" ", 0, at + len(exact)) - 1, 0, notice.phrase))
-                at = norm.find(exact, at + 1)
-            if pattern is None:
+            hits: list[tuple[int, int, int, str]] = []  # start, end in bytes, edits, text
+            if notice.base or pattern is None:
+                exact, at = b" %b " % notice.phrase.encode(), -1
+                while (at := norm.find(exact, at + 1)) >= 0:
+                    hits.append((at + 1, at + len(exact) - 1, 0, notice.phrase))
+            whole = len(hits)
+            if pattern is not None:
+                hits += self._fuzzy(norm, notice, seeds, pattern)
+            if not hits:
                 continue
-            for start, end in self._windows(norm, seeds, len(notice.phrase), notice.edits):
-                window = norm[start:end].decode("utf-8", "replace")
-                for m in self._best(window, pattern, notice.fixed):
-                    hit = m.group()
-                    first = norm.count(b" ", 0, start + len(window[: m.start()].encode())) - 1
-                    labels.add((notice.label, False))
-                    edits = sum(m.fuzzy_counts)
-                    score = max(score, 1 - edits / len(notice.phrase))
-                    found.append((notice.label, first, first + hit.count(" ") + 1, edits, hit))
-        base = sorted({label for label, is_base in labels if is_base})
-        every = sorted({label for label, _ in labels})
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(every), score, [dict(zip(("label", "start_word", "end_word", "edits", "text"), x, strict=True)) for x in sorted(found)]
+            if spaces is None:
+                spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+            first = (np.searchsorted(spaces, [h[0] for h in hits]) - 1).tolist()
+            last = np.searchsorted(spaces, [h[1] for h in hits]).tolist()
+            labels.add(notice.label)
+            if notice.base and whole:
+                places += first[:whole]
+                base.add(notice.label)
+            score = max(score, 1 - min(h[2] for h in hits) / len(notice.phrase))
+            skip = whole if pattern is not None else 0  # the fuzzy search has found these as well
+            found += [(notice.label, *x) for x in self._apart(list(zip(first[skip:], last[skip:], [h[2] for h in hits[skip:]], [h[3] for h in hits[skip:]], strict=True)), pattern is None)]
+        matches = [dict(zip(("label", "start_word", "end_word", "edits", "text"), x, strict=True)) for x in sorted(found)]
+        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, matches
 
     @staticmethod
-    def _best(window: str, pattern: regex.Pattern, fixed: tuple[str, ...]) -> list[regex.Match]:
-        """The matches from every start that hold the fixed words; of those that overlap, the one with the fewest edits."""
-        out: list[regex.Match] = []
-        matches = [m for m in pattern.finditer(window, overlapped=True) if set(fixed) <= set(m.group().split())]
-        for m in sorted(matches, key=lambda m: (sum(m.fuzzy_counts), m.start())):
-            if all(m.end() <= o.start() or o.end() <= m.start() for o in out):
-                out.append(m)
+    def _apart(hits: list[tuple[int, int, int, str]], overlapping: bool) -> list[tuple[int, int, int, str]]:
+        """Of hits that share a word, the one with the fewest edits, then the first."""
+        if overlapping:
+            return hits
+        taken, out = set(), []
+        for hit in sorted(hits, key=lambda h: (h[2], h[0], h[1])):
+            if taken.isdisjoint(range(hit[0], hit[1])):
+                taken.update(range(hit[0], hit[1]))
+                out.append(hit)
         return out
 
     @staticmethod
-    def _windows(norm: bytes, seeds: list[tuple[int, bytes]], length: int, edits: int) -> list[tuple[int, int]]:
-        """Parts of norm, from word to word, that can hold a match: around every exact seed, overlapping ones joined."""
-        spans = []
+    def _fuzzy(norm: bytes, notice: Notice, seeds: list[tuple[int, bytes]], pattern: regex.Pattern) -> list[tuple[int, int, int, str]]:
+        """The best match from every word that a seed allows as its start, if it holds the fixed words."""
+        length, edits, starts = len(notice.phrase), notice.edits, set()
         for offset, seed in seeds:
-            at = norm.find(seed)
-            while at >= 0:
-                # an edit can cost up to four bytes, and a match ends within the length and its edits
-                start = norm.rfind(b" ", 0, max(0, at - offset - 4 * edits) + 1)
-                end = norm.find(b" ", min(len(norm) - 1, at + length - offset + 4 * edits))
-                spans.append((max(0, start), end + 1 if end >= 0 else len(norm)))
-                at = norm.find(seed, at + 1)
-        joined: list[list[int]] = []
-        for start, end in sorted(spans):
-            if joined and start < joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], end)
-            else:
-                joined.append([start, end])
-        return [(a, b) for a, b in joined]
+            at = -1
+            while (at := norm.find(seed, at + 1)) >= 0:
+                low, high = max(0, at - offset - 4 * edits - 1), at - offset + 4 * edits  # an edit can cost up to four bytes
+                while (low := norm.find(b" ", low, high)) >= 0:
+                    low += 1
+                    starts.add(low)
+        out, fixed, exact = [], set(notice.fixed), notice.phrase.encode() + b" "
+        most = length + edits + 1  # one more than a match can have, so that what follows it is seen
+        for start in starts:
+            if norm.startswith(exact, start):
+                out.append((start, start + len(exact) - 1, 0, notice.phrase))
+                continue
+            window = norm[start : start + 4 * most].decode("utf-8", "replace")
+            m = pattern.match(window, 0, most)
+            if m and not fixed.issubset(m.group().split()):  # a worse one from here may hold the fixed words
+                ends = [i for i in range(max(1, length - edits), min(most, len(window))) if window[i] == " "]
+                worse = [x for x in (pattern.fullmatch(window, 0, i) for i in ends) if x and fixed.issubset(x.group().split())]
+                m = min(worse, key=lambda x: sum(x.fuzzy_counts), default=None)
+            if m:
+                hit = m.group().rstrip(" ")
+                out.append((start, start + len(hit.encode()), sum(m.fuzzy_counts), hit))
+        return out
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
