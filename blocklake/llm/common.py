@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,12 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Without one this raises: a local folder would lose what other machines write."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="blocklake-"))
-        found = sc.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -33,6 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of up to so many narrow rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
+SMALL = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, init: Callable[[], object] | None = None) -> DataFrame:
     """df's columns through row(*values) -> tuple, batch by batch; init() makes a helper once per task, passed first."""
 
@@ -51,6 +58,22 @@ def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, init: Callab
     return df.mapInArrow(run, schema)
 
 
-def utf8(column) -> F.Column:
+def utf8(column: Column) -> Column:
     """A text column as UTF-8 bytes; null is empty."""
     return F.coalesce(column.cast("binary"), F.lit(b""))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value found once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -14,21 +14,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import shared_dir, written
+from blocklake.llm.common import if_small, let, shared_dir, written
 from blocklake.llm.components import components
 
 DISTANCE, LEAST = 2, 32
 #: Lines under one key are compared in lists of about this length at most; more are dealt into pairs of blocks.
 BLOCK = 256
-#: A table of up to so many narrow rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
-SMALL = 500_000
-
-
-def if_small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no and line of all lines that are not blank. Null keys stand as the largest."""
     lines = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("key"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "line"))
@@ -63,11 +54,6 @@ def members(lines: DataFrame, distance: int) -> DataFrame:
     return cut.where("start >= 1 AND start + size - 1 <= n").select(F.xxhash64("length", "seg", F.substring(F.col("line"), F.col("start"), F.col("size"))).alias("k"), "id")
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value found once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def within(line: Column, other: Column, distance: int) -> Column:
     """Whether two lines are within the edit distance.
 

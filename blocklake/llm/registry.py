@@ -26,7 +26,7 @@ def op3_secret_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s["rank"] <= 2)
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"), "n_live", "n_copied",
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"), "n_live", "n_copied", secret_scan.joined(F.filter("spans", lambda s: s["live"])).alias("live_spans"),
     )
 
 
@@ -100,11 +100,12 @@ def _secrets_sql(rank: int, pattern: str, group: int, least: int, extra: int) ->
 _SPAN = f"[{', '.join(repr(k[0]) for k in _SECRETS)}][rank + 1] || ':' || start || ':' || stop"
 OP3_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
 found AS MATERIALIZED ({' UNION ALL '.join(_secrets_sql(i, *k[1:]) for i, k in enumerate(_SECRETS))}),
-owners AS (SELECT value, count(DISTINCT owner) AS n FROM found JOIN d USING (r) GROUP BY value),
-judged AS (SELECT r, n <= {secret_scan.MAX_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {secret_scan.MIN_DISTINCT} AND NOT regexp_matches(value, '(?i)example|change_?me|your|dummy|placeholder|xxxx|\\*{{4}}|12345678|abcdefgh') AS live FROM (SELECT DISTINCT r, value FROM found) JOIN owners USING (value)),
-counts AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (rank <= 2) AS base, string_agg({_SPAN}, ',' ORDER BY start, rank) AS spans FROM found GROUP BY r),
+owners AS (SELECT value, count(DISTINCT owner) AS n, count(DISTINCT (owner, doc_id)) AS repos FROM found JOIN d USING (r) GROUP BY value),
+values_ AS (SELECT value, n <= {secret_scan.MAX_OWNERS} AND repos <= {secret_scan.MAX_REPOS} AND len(list_distinct(string_split(value, ''))) >= {secret_scan.MIN_DISTINCT} AND NOT regexp_matches(value, '(?i)example|change_?me|your|dummy|placeholder|xxxx|\\*{{4}}|12345678|abcdefgh') AS live FROM owners),
+judged AS (SELECT DISTINCT r, value, live FROM found JOIN values_ USING (value)),
+counts AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (rank <= 2) AS base, string_agg({_SPAN}, ',' ORDER BY start, rank) AS spans, string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (live) AS live_spans FROM found JOIN values_ USING (value) GROUP BY r),
 lives AS (SELECT r, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM judged GROUP BY r)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(live_spans, '') AS live_spans
 FROM d LEFT JOIN counts USING (r) LEFT JOIN lives USING (r)"""
 
 

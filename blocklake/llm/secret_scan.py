@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import written
+from blocklake.llm.common import if_small, let, unused, written
 
 
 @dataclass(frozen=True)
@@ -35,34 +35,28 @@ KINDS = (
     Kind("provider", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{12,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 0, 16),
     Kind("url", r"://[^\s:/@]{1,64}:([^\s:/@]{8,128})(?=@)", 1, 8),
 )
-SPAN = "struct<start:int,rank:int,end:int,value_start:int,hash:string,random:boolean>"
 #: Values that say themselves that they are none.
 PLACEHOLDERS = r"(?i)example|change_?me|your|dummy|placeholder|xxxx|\*{4}|^(.)\1*$|12345678|abcdefgh"
 MIN_DISTINCT = 6
-#: A value of more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value of more owners, or in more repositories, than this is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 10
 
 
-def _kind_spans(text: Column, rank: int, kind: Kind) -> Column:
-    """The kind's matches in a text with their places in code points: what lies between matches and the matches, in turn."""
-    parts = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() AS array<{SPAN}>)").alias("spans"))
+def _pieces(text: Column, rank: int, kind: Kind) -> Column:
+    """The kind's matches in a text in order: how long what lies before each is, and what the match is, in code points and in bytes."""
+    cut = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    value = lambda m: m if not kind.group else F.regexp_extract(m, ":([^:]*)$", 1) if kind.name == "url" else F.regexp_extract(m, kind.pattern, kind.group)
 
-    def step(acc, x):
-        begin = acc["pos"] + F.char_length(x["p"])
-        end = begin + F.coalesce(F.char_length(x["m"]), F.lit(0))
-        value = F.regexp_extract(x["m"], kind.pattern, kind.group) if kind.group and kind.name != "url" else (F.regexp_extract(x["m"], ":([^:]*)$", 1) if kind.name == "url" else x["m"])
-        size = F.char_length(value)
-        random = (F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT) & ~value.rlike(PLACEHOLDERS)
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), (end - size).alias("value_start"), F.sha2(value, 256).alias("hash"), random.alias("random"))
-        return F.struct(end.alias("pos"), F.when(x["m"].isNotNull() & (size >= kind.least), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def piece(x):
+        return let(
+            value(x["m"]),
+            lambda v: F.struct(
+                F.lit(rank).alias("rank"), F.char_length(x["p"]).alias("gap"), F.char_length(x["m"]).alias("size"), F.octet_length(x["p"]).alias("gap_bytes"), F.octet_length(x["m"]).alias("bytes"), F.octet_length(v).alias("value_bytes"),
+                (F.char_length(v) >= kind.least).alias("counts"), F.unhex(F.sha2(v, 256)).alias("hash"), ((F.size(F.array_distinct(F.split(v, ""))) >= MIN_DISTINCT) & ~v.rlike(PLACEHOLDERS)).alias("random"),
+            ),
+        )
 
-    return F.when(text.rlike(kind.pattern), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(start["spans"])
-
-
-def spans_of(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """All spans of a text in order of start and kind; a null text has none."""
-    return F.array_sort(F.concat(*[_kind_spans(F.coalesce(text, F.lit("")), i, k) for i, k in enumerate(kinds)]))
+    return F.when(text.rlike(kind.pattern), F.transform(F.filter(cut, lambda x: x["m"].isNotNull()), piece))
 
 
 def joined(spans: str | Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
@@ -71,10 +65,29 @@ def joined(spans: str | Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """row (a number of its own), key, owner and spans of every row of docs, as a table in the shared folder; texts stay behind."""
-    columns = docs.select(F.col(key).alias("key"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.col(text).alias("text"))
-    return written(columns.select(F.monotonically_increasing_id().alias("row"), "key", "owner", spans_of(F.col("text")).alias("spans")), "secrets")
+def digest(text: str | Column) -> list[Column]:
+    """128 bits of a text; a null text is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("d1"), F.xxhash64(F.lit(1), whole).alias("d2")]
+
+
+def find_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """row (a number of its own), key, owner, d1, d2 and matches of every row of docs, as a table in the shared folder; texts stay behind."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = F.flatten(F.array(*[F.coalesce(x, F.expr("array()")) for x in (_pieces(whole, i, k) for i, k in enumerate(kinds))]))
+    columns = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), *digest(text), found.alias("matches"))
+    return written(columns, "secrets")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """A row per span: row, key, owner, d1, d2, rank, start, end, value_start and value_end (bytes), hash, random.
+
+    A match begins after all gaps and matches of its kind before it: running sums over a text's own matches.
+    """
+    each = found.select("row", "key", "owner", "d1", "d2", F.posexplode("matches").alias("no", "m")).select("row", "key", "owner", "d1", "d2", "no", "m.*")
+    before = Window.partitionBy("row", "rank").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = each.withColumns({"end": F.sum(F.col("gap") + F.col("size")).over(before), "value_end": F.sum(F.col("gap_bytes") + F.col("bytes")).over(before)})
+    return summed.where("counts").select("row", "key", "owner", "d1", "d2", "rank", (F.col("end") - F.col("size")).alias("start"), "end", (F.col("value_end") - F.col("value_bytes")).alias("value_start"), "value_end", "hash", "random")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -83,40 +96,53 @@ def ownership(found: DataFrame) -> DataFrame:
     Distinct (hash, owner, key) first, then counts by (hash, owner) and by hash: each step is aggregated before
     its shuffle, so a value that a third of all rows hold is few rows in each.
     """
-    spread = found.select("key", "owner", F.inline("spans")).select("hash", "owner", "key").distinct()
+    spread = found.select("key", "owner", F.inline("matches")).where("counts").select("hash", "owner", "key").distinct()
     by_owner = spread.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def live_hashes(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """row, key, hash and live of every candidate: live if few owners have the value and it looks random."""
-    candidates = found.select("row", "key", F.inline("spans"))
-    return candidates.join(ownership(found), "hash").select("row", "key", "hash", "start", "rank", ((F.col("n_owners") <= max_owners) & F.col("random")).alias("live"))
+def judged(found: DataFrame) -> DataFrame:
+    """The spans with live: few owners and repositories have the value, and it looks random."""
+    few = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOS)
+    return placed(found).join(ownership(found).select("hash", few.alias("few")), "hash").withColumn("live", F.col("few") & F.col("random")).drop("few")
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """A row per row of docs: key, spans and, over distinct values, n_live and n_copied. Texts without secrets have no spans and zeros."""
-    found = find_secrets(docs, key, text, owner)
-    judged = live_hashes(found).select("row", "hash", "live").distinct().groupBy("row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
-    out = found.join(judged, "row", "left")
-    return out.select(F.col("key").alias(key), "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    """A row per row of docs: key, spans (start, rank, end, live; by start and kind) and, over distinct values, n_live and n_copied.
+
+    A null or empty text has no spans and zeros. Null owners are one owner. Equal rows are copies of one
+    repository. Other columns are left out.
+    """
+    found = find_matches(docs, key, text, owner, kinds)
+    spans = F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live")))
+    counts = {name: F.countDistinct(F.when(F.col("live") == live, F.col("hash"))).alias(name) for name, live in (("n_live", True), ("n_copied", False))}
+    by_row = judged(found).groupBy("row").agg(spans.alias("spans"), *counts.values())
+    out = found.select("row", "key").join(by_row, "row", "left")
+    none = F.expr("cast(array() AS array<struct<start:bigint,rank:int,end:bigint,live:boolean>>)")
+    return out.select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"), *[F.coalesce(n, F.lit(0)).alias(n) for n in counts])
 
 
 def redact_live(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", mask: str = "[SECRET]") -> DataFrame:
     """docs with the values of live-looking credentials masked; widely copied examples and all else stay as they are.
 
-    Rows of an equal key (null included) share their live values. All columns of docs stay.
+    Values that overlap are masked as one. All columns of docs stay, whatever their names; null texts stay null.
+    Where values stand follows from the text alone, so places and rows meet by the text's digest: neither null
+    keys nor repeated ones meet as a group, and only texts with live values are looked up.
     """
-    live = live_hashes(find_secrets(docs, key, text, owner)).where("live").groupBy(F.col("key").alias("__key")).agg(F.collect_set("hash").alias("__hashes"))
-    marked = docs.join(live, F.col(key).eqNullSafe(F.col("__key")), "left")
-    hits = F.filter(spans_of(F.col(text)), lambda s: F.array_contains("__hashes", s["hash"]))
-    places = F.array_sort(F.array_distinct(F.transform(hits, lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b")))))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["a"] >= acc["pos"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, s["a"] - acc["pos"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["b"]).alias("pos"), out.alias("out"))
-
-    masked = F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, F.char_length(F.col(text)))))
-    return marked.withColumn(text, F.when(F.col("__hashes").isNotNull(), masked).otherwise(F.col(text))).drop("__key", "__hashes")
+    live = judged(find_matches(docs, key, text, owner)).where("live").select("d1", "d2", "value_start", "value_end").distinct()
+    order = Window.partitionBy("d1", "d2").orderBy("value_start", "value_end")
+    reached = F.max("value_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = live.withColumn("fresh", F.when(F.coalesce(F.col("value_start") >= reached, F.lit(True)), 1).otherwise(0)).withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = parted.groupBy("d1", "d2", "part").agg(F.min("value_start").alias("a"), F.max("value_end").alias("b"))
+    a, b, at = unused(docs, "d1", "d2", "places")
+    places = written(merged.groupBy(F.col("d1").alias(a), F.col("d2").alias(b)).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias(at)), "places")
+    columns = docs.columns
+    marked = docs.withColumns(dict(zip((a, b), digest(text), strict=True))).join(if_small(places), [a, b], "left")
+
+    def between(i):
+        begin = F.coalesce(F.get(at, i - 1)["b"], F.lit(0))
+        stop = F.coalesce(F.get(at, i)["a"], F.octet_length(F.col(text)).cast("long"))
+        return F.substring(F.col(text).cast("binary"), (begin + 1).cast("int"), (stop - begin).cast("int")).cast("string")
+
+    masked = F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), between), mask)
+    return marked.withColumn(text, F.when(F.col(at).isNotNull(), masked).otherwise(F.col(text))).select(*columns)

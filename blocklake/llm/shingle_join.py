@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import map_rows, utf8, written
+from blocklake.llm.common import if_small, map_rows, utf8, written
 from blocklake.llm.components import components
-from blocklake.llm.line_dedup import BLOCK, if_small
+from blocklake.llm.line_dedup import BLOCK
 from blocklake.llm.simhash import CROWD, shingle_hashes
 
 WIDTH = 5

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import uuid
 import zlib
 
@@ -115,8 +116,8 @@ def test_ownership_counts(spark):
     for r in df.collect():
         for start, rank, end in brute_spans(r["text"]):
             value = BASE[rank][0].match(r["text"], start).group(BASE[rank][1])[: end - start]
-            owners.setdefault(hashlib.sha256(value.encode()).hexdigest(), set()).add((r["source"] or "", r["doc_id"]))
-    got = {r["hash"]: (r["n_repos"], r["n_owners"]) for r in secret_scan.ownership(secret_scan.find_secrets(df)).collect()}
+            owners.setdefault(hashlib.sha256(value.encode()).digest(), set()).add((r["source"] or "", r["doc_id"]))
+    got = {bytes(r["hash"]): (r["n_repos"], r["n_owners"]) for r in secret_scan.ownership(secret_scan.find_matches(df)).collect()}
     assert {h: (len(v), len({o for o, _ in v})) for h, v in owners.items()}.items() <= got.items()
 
 
@@ -127,6 +128,31 @@ def test_redaction(spark):
     assert texts[200] == "see http://me:[SECRET]@host/ and [SECRET]" and texts[201] is None and texts[202] == "" and len(out) == secret_documents(spark).count()
 
 
+def test_copies_of_one_owner_are_no_live_secret(spark):
+    """A value in many documents of one source; its spans say what it is, and it is not masked."""
+    rows = [(i, "token = Xk29fLq8Zr71mB", "one") for i in range(20)] + [(50 + i, "token = Qk29fLq8Zr71mC", "one") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(df).collect()}
+    assert (got[0]["n_live"], got[0]["n_copied"], got[50]["n_live"]) == (0, 1, 1)
+    assert [s["live"] for s in got[0]["spans"]] == [False] and [s["live"] for s in got[50]["spans"]] == [True]
+    assert {r["text"] for r in secret_scan.redact_live(df).collect()} == {"token = Xk29fLq8Zr71mB", "token = [SECRET]"}
+
+
+def test_secrets_of_a_long_text(spark):
+    """Hashes by the thousand in one text, at once found and masked; and columns with the operator's own names."""
+    r = random.Random(1)
+    runs = [f"{r.getrandbits(64):016x}" for _ in range(30_000)]
+    df = spark.createDataFrame([(1, "é " + " ".join(runs), "o", 1, "p"), (None, None, None, 2, "q"), (None, "x", None, 2, "q")], "doc_id long, text string, source string, d1 int, places string")
+    began = time.time()
+    found = {x["doc_id"]: x for x in secret_scan.scan_secrets(df).where("doc_id = 1").collect()}
+    assert [(x["start"], x["end"]) for x in found[1]["spans"]] == [(2 + 17 * i, 18 + 17 * i) for i in range(len(runs))]
+    masked = secret_scan.redact_live(df)
+    assert masked.columns == df.columns
+    out = {x["doc_id"]: x["text"] for x in masked.where("doc_id = 1").collect()}
+    live = sum(x["live"] for x in found[1]["spans"])
+    assert out[1].count("[SECRET]") == live > 29_000 and out[1].startswith("é [SECRET] [SECRET]") and time.time() - began < 120
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from blocklake.llm import registry
 
@@ -33,6 +34,6 @@ def test_secrets_sql_on_a_fixture(spark):
     con.register("documents", frame)
     want = con.execute(registry.OP3_SQL).fetchall()
     names = [c[0] for c in con.description]
-    found = secret_scan.scan_secrets(df).select("doc_id", secret_scan.joined("spans").alias("spans"), "n_live", "n_copied").collect()
-    at = [names.index(c) for c in ("doc_id", "spans", "n_live", "n_copied")]
+    found = secret_scan.scan_secrets(df).select("doc_id", secret_scan.joined("spans").alias("spans"), "n_live", "n_copied", secret_scan.joined(F.filter("spans", lambda s: s["live"])).alias("live")).collect()
+    at = [names.index(c) for c in ("doc_id", "spans", "n_live", "n_copied", "live_spans")]
     assert sorted(map(str, map(tuple, found))) == sorted(str(tuple(row[i] for i in at)) for row in want)
