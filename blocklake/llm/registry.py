@@ -15,8 +15,9 @@ def op1_license_scan(spark, sf_dir):
 
 
 def op2_warc(spark, sf_dir):
-    found = warc.archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").where("gap IS NULL")
-    number = lambda name: F.when(F.col(name) != "", F.col(name)).cast("long")
+    found = warc.archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    broken = F.raise_error(F.concat(F.lit("a gap in an archive that was just written: "), F.col("gap")))
+    number = lambda name: F.when(F.col("gap").isNotNull(), broken.cast("string")).when(F.col(name) != "", F.col(name)).cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 

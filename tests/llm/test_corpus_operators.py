@@ -50,29 +50,72 @@ def records(n):
     return [warc.record_bytes(str(i), "u", p, warc.digest_of(p), None) for i, p in enumerate(payloads)]
 
 
+def salvaged(data):
+    """(offset, length, gap, record, offset in the member)."""
+    return [(a, n, gap, record, inner) for a, n, inner, gap, record in warc.salvage(warc.of_bytes(data))]
+
+
 @pytest.mark.parametrize("packed", [True, False])
-def test_salvage(packed):
-    """Whatever is damaged, all other records are recovered, and gaps and records cover every byte."""
+def test_salvage(packed, monkeypatch):
+    """Whatever is damaged, all other records are recovered, and gaps and records cover every byte; read in small steps as well."""
     parts = [warc.gzip_member(x) if packed else x for x in records(12)]
     whole, starts = b"".join(parts), np.cumsum([0, *map(len, parts)]).tolist()
     r = random.Random(3)
-    for _ in range(150):
+    for turn in range(150):
+        monkeypatch.setattr(warc, "STEP", (1 << 20, 64)[turn % 2])
         bad, at = bytearray(whole), r.randrange(len(whole))
         bad[at] ^= r.randrange(1, 256)
         hit = next(i for i in range(12) if starts[i] <= at < starts[i + 1])
-        found = list(warc.salvage(bytes(bad)))
+        found = salvaged(bytes(bad))
         kept = {x[3]["record_id"] for x in found if x[2] is None}
         assert kept >= {str(i) for i in range(12) if i != hit}
         assert [x[0] for x in found] == np.cumsum([0, *[x[1] for x in found[:-1]]]).tolist() and found[-1][0] + found[-1][1] == len(bad)
-    cut = list(warc.salvage(b"junk" + whole[starts[1] + 3 :]))  # neither the start nor the end is sound
+    cut = salvaged(b"junk" + whole[starts[1] + 3 :])  # neither the start nor the end is sound
     assert cut[0][:2] == (0, 4 + starts[2] - starts[1] - 3) and cut[0][2] and len(cut) == 11
-    assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"nothing here"))[0][:2] == (0, 12)
+    assert salvaged(b"") == [] and salvaged(b"nothing here")[0][:2] == (0, 12)
 
 
 def test_salvage_several_records_in_a_member():
     made = records(3)
     data = warc.gzip_member(made[0] + made[1]) + warc.gzip_member(b"") + made[2] + zlib.compress(b"x")
-    assert [x[3].get("record_id") for x in warc.salvage(data)] == ["0", "1", None, "2", None]
+    assert [x[3].get("record_id") for x in salvaged(data)] == ["0", "1", None, "2", None]
+
+
+def test_salvage_inside_members():
+    """A broken record in a sound member is a gap by its offset in the content; a member that is cut off gives what it decoded."""
+    made = records(6)
+    broken = made[2].replace(b"Content-Length", b"Content-Lenght")
+    content = made[0] + made[1] + broken + made[3]
+    found = salvaged(warc.gzip_member(content) + warc.gzip_member(made[4]))
+    assert [(x[3].get("record_id"), x[4]) for x in found] == [("0", 0), ("1", len(made[0])), (None, len(made[0] + made[1])), ("3", len(content) - len(made[3])), ("4", 0)]
+    assert found[2][2] == "bad length" and found[2][3] == {"inner_length": len(broken)}
+    packed = warc.gzip_member(b"".join(made))
+    cut = salvaged(packed[: len(packed) * 2 // 3])
+    assert [x[3].get("record_id") for x in cut[:-1]] == [str(i) for i in range(len(cut) - 1)] and len(cut) > 3 and cut[-1][:3] == (0, len(packed) * 2 // 3, "member cut off")
+    wrong = salvaged(packed[:-8] + b"\0\0\0\0" + packed[-4:])  # of the checksum
+    assert [x[3].get("record_id") for x in wrong] == [*"012345", None]
+
+
+def test_headers_of_any_length_and_folded_lines():
+    made = records(2)
+    folded = made[0].replace(b"WARC-Target-URI: u\r\n", b"WARC-Target-URI: u\r\n  v\r\n\tw\r\n")
+    assert salvaged(folded + made[1])[0][3]["uri"] == "u v w"
+    long = warc.record_bytes("9", "u" * 3_000_000, b"p", warc.digest_of(b"p"), None)
+    assert [x[3]["record_id"] for x in salvaged(warc.gzip_member(long) + long)] == ["9", "9"]
+    for bad in (b"WARC/1.0\r\nbroken\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0: x\r\n", b"\x1f\x8b\x08"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            assert [x[2] is None for x in salvaged(bad * n + made[1])] == [False, True]
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5
+
+
+def test_long_addresses_keep_their_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    df = spark.createDataFrame([(1, "u" * 1_100_000, "a"), (2, "v", "b"), *[(i, "w", "") for i in range(3, 12)]], "page_id long, url string, html string")
+    got = {r["record_id"]: r for r in warc.archive_pages(df, fresh(spark)).collect()}
+    assert len(got) == 11 and got["1"]["uri"] == "u" * 1_100_000 and {got[str(i)]["refers_to"] for i in range(3, 11)} == {"11"}
 
 
 def test_salvage_reads_files(spark):
