@@ -183,9 +183,10 @@ def parse_record(data: Source, at: int, proven: bool = False) -> tuple[dict, int
 def unpack_member(data: Source, at: int, out: BinaryIO) -> tuple[int, str]:
     """Writes what the gzip member at a place holds; where it ends, and why not all of it could be had (empty: it could).
 
-    An error takes the output of its whole step with it, so steps that fail are halved until a byte is left.
+    Steps begin small, as most false members fail at once. An error takes the output of its whole step with it,
+    so steps that fail are halved until a byte is left.
     """
-    unpacker, pos, step, why = zlib.decompressobj(31), at, STEP, ""
+    unpacker, pos, step, why = zlib.decompressobj(31), at, 64, ""
     while step and not unpacker.eof and pos < data.size:
         part, before, mark = data.read(pos, step), unpacker.copy(), out.tell()
         try:
@@ -199,6 +200,8 @@ def unpack_member(data: Source, at: int, out: BinaryIO) -> tuple[int, str]:
             out.truncate()
             continue
         pos += len(part)
+        if not why:
+            step = min(2 * step, STEP)
     if unpacker.eof:
         return pos - len(unpacker.unused_data), ""
     return at, why or "member cut off"
