@@ -102,7 +102,7 @@ def test_headers_of_any_length_and_folded_lines():
     assert salvaged(folded + made[1])[0][3]["uri"] == "u v w"
     long = warc.record_bytes("9", "u" * 3_000_000, b"p", warc.digest_of(b"p"), None)
     assert [x[3]["record_id"] for x in salvaged(warc.gzip_member(long) + long)] == ["9", "9"]
-    for bad in (b"WARC/1.0\r\nbroken\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0: x\r\n", b"\x1f\x8b\x08"):
+    for bad in (b"WARC/1.0\r\nbroken\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0: x\r\n", b"\x1f\x8b\x08\0"):
         took = []
         for n in (20_000, 80_000):
             began = time.process_time()
@@ -222,17 +222,37 @@ def near_lines(r, n=12):
     return sorted(x for x in out if len(x) >= 5 and x.strip())
 
 
-@pytest.mark.parametrize("distance", [1, 2])
-@pytest.mark.parametrize("block", [32, 3])
-def test_line_links(spark, distance, block, monkeypatch):
+def near_by(a, b, distance, per):
+    """Whether two different lines are within an edit for every `per` characters of the shorter one."""
+    k = min(distance, min(len(a), len(b)) // per)
+    return k > 0 and abs(len(a) - len(b)) <= k and edit_distance(a, b) <= k
+
+
+@pytest.mark.parametrize("distance, per", [(1, 5), (2, 4), (2, 5), (3, 3)])
+@pytest.mark.parametrize("block", [32, 2])
+def test_line_links(spark, distance, per, block, monkeypatch):
+    """Thresholds that grow with the length, and crowds, against all pairs."""
     monkeypatch.setattr(line_dedup, "BLOCK", block)
-    lines = near_lines(random.Random(3))
-    got = [tuple(r) for r in line_dedup.line_links(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), distance, 5).collect()]
-    want = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if edit_distance(lines[i], lines[j]) <= distance]
-    assert sorted(got) == want
+    lines = near_lines(random.Random(3), 7)
+    got = [tuple(r) for r in line_dedup.line_links(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), distance, per).collect()]
+    want = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if near_by(lines[i], lines[j], distance, per)]
+    assert sorted(got) == want and len(want) >= 15
+
+
+def test_crowds_meet_again_under_signatures(spark, monkeypatch):
+    """Lines with a long beginning in common: few pairs are compared, none is lost."""
+    r = random.Random(4)
+    made = []
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "compared", lambda met, *rest, f=line_dedup.compared: made.append(met.groupBy("k").count().selectExpr("sum(count * count)").first()[0] or 0) or f(met, *rest))
+    lines = sorted({"the same beginning of every line here " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(500)})
+    lines += [x[:45] + "#" + x[46:] for x in lines[:40]]
+    assert len(lines) == 540
+    got = [tuple(x) for x in line_dedup.line_links(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()]
+    assert sorted(got) == [(i, 500 + i) for i in range(40)] and 0 < sum(made) < 540 * 540, made  # 3 keys of 540 lines each otherwise
 
 
-def brute_report(rows, distance, least):
+def brute_report(rows, distance, per):
     """(doc_id, line_no, class, links, copies, kept) of every line that is not blank."""
     found = [(k, i, line) for k, t in rows for i, line in enumerate((t or "").split("\n")) if line.strip()]
     texts = sorted({x[2] for x in found})
@@ -246,7 +266,7 @@ def brute_report(rows, distance, least):
     links = dict.fromkeys(texts, 0)
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= distance and edit_distance(a, b) <= distance:
+            if near_by(a, b, distance, per):
                 links[a] += 1
                 links[b] += 1
                 parent[root(a)] = root(b)
@@ -261,15 +281,17 @@ def test_line_report(spark):
     lines = near_lines(r, 8) + ["", "  ", "same", "same line that is long"]
     rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for i in range(60)] + [(100, None), (101, "")]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, line_no int, h1 int")
-    got = sorted(tuple(x) for x in line_dedup.line_report(df, distance=2, least=8).collect())
-    assert got == brute_report(rows, 2, 8)
+    got = sorted(tuple(x) for x in line_dedup.line_report(df, distance=2, per=5).collect())
+    assert got == brute_report(rows, 2, 5)
     dropped = {(k, i) for k, i, *_, kept in got if not kept}
-    cleaned = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(df, distance=2, least=8).collect()}
+    cleaned = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(df, distance=2, per=5).collect()}
     assert cleaned == {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in dropped) for k, t in rows}
 
 
 def test_lines_of_odd_documents(spark):
-    df = documents(spark)
+    df = documents(spark).withColumns({c: F.lit(1) for c in ("k", "v", "gone", "version")})
+    nulls = df.where("doc_id IS NULL").select("doc_id", "text").union(spark.createDataFrame([(None, "a b\na b\nno id here"), (None, "c\nno id here")], "doc_id long, text string"))
+    assert sorted(str(x["text"]) for x in line_dedup.drop_repeated_lines(nulls).collect()) == sorted(map(str, (None, "no id here", "a b", "c")))
     assert line_dedup.drop_repeated_lines(df).count() == df.count() and line_dedup.drop_repeated_lines(df).columns == df.columns
     assert line_dedup.line_report(df).count() > 0 and line_dedup.line_report(empty(spark)).count() == 0 and line_dedup.drop_repeated_lines(empty(spark)).count() == 0
 
