@@ -1,10 +1,12 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets, with a prefix filter.
-
-If the shingles of all texts are in one order, two sets of a similarity of
-SHARE or more have a shingle in common among the first n - ceil(SHARE * n) + 1 of
-each, so texts meet under those and no similar pair is missed. Bounds that hold for
-every similar pair (sizes, places, parities) leave few pairs; those are verified
-on the whole sets.
+"""Near-duplicates by the exact Jaccard similarity of shingle sets: SimHash links first, then a prefix filter.
+
+Fingerprints within a few bits give most links at little cost, but similar texts can
+lie further apart. If the shingles of all texts are in one order, two sets of a
+similarity of SHARE or more have a shingle in common among the first
+n - ceil(SHARE * n) + 1 of each, so texts meet under those and no similar pair is
+missed. The order is free: shingles that many texts share come last, so passages
+seldom bring texts together. Only what is not connected yet is compared, first with
+one text for each shingle, and every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -14,36 +16,42 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blocklake.llm import simhash
 from blocklake.llm.common import if_small, map_rows, utf8, written
 from blocklake.llm.components import components
 from blocklake.llm.line_dedup import BLOCK
-from blocklake.llm.simhash import CROWD, shingle_hashes
 
 WIDTH = 5
 #: The least similarity, as a fraction of whole numbers.
 SHARE = (4, 5)
 #: Bits of the parities of a set, and of those that long sets are compared by before they meet as a whole.
 PARITIES, WIDE = 1024, 8192
+#: Shingles under which more sets meet come last in the order; so many of them at most. Both change the work, never the result.
+COMMON, MOST_COMMON = 32, 1 << 20
+#: Rounds in which every shingle's sets are compared with one of them, another in each round, before the rest is compared in blocks.
+ROUNDS = 3
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> tuple[int, int, np.ndarray]:
-    """128 bits of the set of a text's shingle hashes, and the set in order."""
-    found = np.unique(shingle_hashes(text, width))
-    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(found.astype("<u8").tobytes()), "<i8").tolist()
-    return h1, h2, found
+def parities(found: np.ndarray, bits: int) -> np.ndarray:
+    """The parities of how many hashes fall on each bit."""
+    return np.packbits((np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<i8")
 
 
-def parities(found: np.ndarray, bits: int) -> list[int]:
-    """The parities of how many hashes fall on each bit."""
-    return np.packbits((np.bincount((found % bits).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<i8").tolist()
+def shingle_set(text: bytes, width: int = WIDTH) -> tuple[int, int, int, np.ndarray, int]:
+    """128 bits of the set of a text's shingle hashes, its size, the set in order, and the text's fingerprint."""
+    hashes = simhash.shingle_hashes(text, width)
+    found = np.unique(hashes)
+    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(found.astype("<u8").tobytes()), "<i8").tolist()
+    return h1, h2, len(found), found.view(np.int64), simhash.majority(hashes)
 
 
-def marks(text: bytes, width: int = WIDTH, share: tuple[int, int] = SHARE) -> tuple[int, int, int, list[int], list[int]]:
-    """128 bits of the set, its size, its first shingles and the parities of how many hashes fall on each of PARITIES bits."""
-    h1, h2, found = shingle_set(text, width)
+def first_shingles(found: np.ndarray, share: tuple[int, int], common: np.ndarray) -> np.ndarray:
+    """The shingles under which a set meets others: the first ones, common ones last."""
     n = len(found)
-    first = found[: n - -(-share[0] * n // share[1]) + 1]
-    return h1, h2, n, first.view(np.int64).tolist(), parities(found, PARITIES)
+    if len(common):
+        late = np.isin(found, common)
+        found = np.concatenate([found[~late], found[late]])
+    return found[: n - -(-share[0] * n // share[1]) + 1]
 
 
 def _sized(p, q, share: tuple[int, int]) -> Column:
@@ -58,74 +66,123 @@ def _even(x: Column, y: Column, n: Column, share: tuple[int, int]) -> Column:
     return apart * (share[0] + share[1]) <= n * (share[1] - share[0])
 
 
-def _verified(candidates: DataFrame, unique: DataFrame, tagged: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs a, b of candidates that have the similarity. Only texts of pairs with fitting parities are read again."""
-    side = lambda name, n, p: unique.select(F.col("id").alias(name), F.col("n").alias(n), F.col("parities").alias(p))
-    fitting = candidates.distinct().join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b").where(_even(F.col("p"), F.col("q"), F.col("m") + F.col("n"), share))
-    left = written(fitting.select("a", "b", "m", "n"), "fitting")
-    ends = written(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(unique.select("id", "h1", "h2", "tag"), "id"), "ends")
-    texts = tagged.join(if_small(ends.select("tag").distinct()), "tag", "left_semi").dropDuplicates(["tag"]).select("text")
-
-    def row(t: bytes) -> tuple:
-        h1, h2, found = shingle_set(t, width)
-        return h1, h2, found.view(np.int64).tolist(), parities(found, WIDE)
-
-    sets = map_rows(texts, row, "h1 long, h2 long, found array<long>, wide array<long>")
-    sets = written(sets.join(if_small(ends.drop("tag")), ["h1", "h2"]).select("id", "found", "wide").dropDuplicates(["id"]), "sets")
-    p, q = sets.select(F.col("id").alias("a"), F.col("wide").alias("p")), sets.select(F.col("id").alias("b"), F.col("wide").alias("q"))
-    left = written(left.join(p, "a").join(q, "b").where(_even(F.col("p"), F.col("q"), F.col("m") + F.col("n"), share)).select("a", "b", "m", "n"), "fitting")
-    x, y = sets.select(F.col("id").alias("a"), F.col("found").alias("x")), sets.select(F.col("id").alias("b"), F.col("found").alias("y"))
-    common = F.size(F.array_intersect("x", "y")) * (share[0] + share[1])
-    return written(left.join(x, "a").join(y, "b").where(common >= (F.col("m") + F.col("n")) * share[0]).select("a", "b"), "similar")
-
-
-def similar(unique: DataFrame, tagged: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, crowd: int = CROWD) -> DataFrame:
-    """a, b: verified links between different sets that connect all of the similarity or more.
-
-    Under a shingle of up to `crowd` sets all pairs are tried. Under others each is first tried with the least
-    one; then pairs that this has not connected yet are compared in blocks, without rows of those that can't fit.
+def _pair(x: Column | str, y: Column | str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+class Similar:
+    """The links between the distinct sets of one table of sets."""
+
+    def __init__(self, sets: DataFrame, unique: DataFrame, share: tuple[int, int], common: int):
+        self.sets, self.unique, self.share = sets, unique, share
+        ids = if_small(unique.select("id"))
+        own = written(sets.select("id", "n", "found").join(ids, "id", "left_semi"), "distinct-sets")
+        plain = own.select(F.explode(F.expr(f"slice(found, 1, n - cast(ceil({share[0]} * n / {share[1]}) AS int) + 1)")).alias("k"))
+        often = plain.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > common).orderBy(F.desc("c"), "k").limit(MOST_COMMON)
+        late = unique.sparkSession.sparkContext.broadcast(often.toPandas()["k"].to_numpy(np.int64))  # at most MOST_COMMON numbers
+
+        def row(i, n, found):
+            found = np.asarray(found, np.int64)
+            return i, n, first_shingles(found, share, late.value), parities(found.view(np.uint64), PARITIES)
+
+        self.own = own
+        self.marks = written(map_rows(own, row, "id long, n int, first array<long>, parities array<long>"), "shingle-marks")
+        members = self.marks.select("id", "n", F.posexplode("first").alias("i", "k"))
+        live = written(members.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "live-shingles")
+        self.met = written(members.join(if_small(live), "k"), "met-shingles")
+        self.links = self.labels = None
+
+    def verified(self, candidates: DataFrame) -> DataFrame:
+        """The pairs a, b of candidates that have the similarity. Only sets of pairs with fitting parities are joined."""
+        share, size = self.share, F.col("m") + F.col("n")
+        side = lambda name, n, p: self.marks.select(F.col("id").alias(name), F.col("n").alias(n), F.col("parities").alias(p))
+        fitting = candidates.where("a != b").distinct().join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b").where(_even(F.col("p"), F.col("q"), size, share))
+        left = written(fitting.select("a", "b", "m", "n"), "fitting")
+        ends = written(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "ends")
+        sets = map_rows(self.own.join(if_small(ends), "id", "left_semi").select("id", "found"), lambda i, f: (i, f, parities(np.asarray(f, np.int64).view(np.uint64), WIDE)), "id long, found array<long>, wide array<long>")
+        sets = written(sets, "sets")
+        p, q = sets.select(F.col("id").alias("a"), F.col("wide").alias("p")), sets.select(F.col("id").alias("b"), F.col("wide").alias("q"))
+        left = written(left.join(p, "a").join(q, "b").where(_even(F.col("p"), F.col("q"), size, share)).select("a", "b", "m", "n"), "fitting")
+        x, y = sets.select(F.col("id").alias("a"), F.col("found").alias("x")), sets.select(F.col("id").alias("b"), F.col("found").alias("y"))
+        enough = F.size(F.array_intersect("x", "y")) * (share[0] + share[1]) >= size * share[0]
+        return written(left.join(x, "a").join(y, "b").where(enough).select("a", "b"), "similar")
+
+    def add(self, candidates: DataFrame) -> bool:
+        """Verifies candidates; whether there are new links."""
+        found = self.verified(candidates)
+        if found.isEmpty():
+            return False
+        self.links = found if self.links is None else written(self.links.union(found).distinct(), "similar")
+        self.labels = written(components(self.links).withColumnRenamed("node", "id"), "similar-labels")
+        return True
+
+    def placed(self) -> DataFrame:
+        """Sets under shingles whose sets are not all connected yet, with their components."""
+        named = self.met.withColumn("component", F.col("id")) if self.labels is None else self.met.join(self.labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = named.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("k")
+        return written(named.join(if_small(written(split, "split")), "k"), "placed")
+
+    def fingerprint_links(self, distance: int) -> DataFrame:
+        """Candidates from fingerprints within a few bits, and from equal ones."""
+        first = self.unique.groupBy("fp").agg(F.min("id").alias("first"))
+        near = simhash.links(first.select("fp"), distance)
+        a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+        equal = self.unique.select("fp", "id").join(first, "fp").where("id != first").select(*_pair("first", "id"))
+        return near.join(a, "a").join(b, "b").select(*_pair("x", "y")).union(equal)
+
+    def with_one(self, placed: DataFrame, turn: int) -> DataFrame:
+        """Candidates: under each shingle, one set (another in each turn) with all those of other components."""
+        hub = placed.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "k", "id").alias("h"), "id", "n", "i", "component")).alias("hub"))
+        met = placed.join(hub, "k").where(F.col("component") != F.col("hub.component"))
+        return met.where(_sized(F.struct("n", "i"), F.col("hub"), self.share)).select(*_pair("hub.id", "id"))
+
+    def in_blocks(self, placed: DataFrame) -> DataFrame:
+        """Candidates: all pairs of different components under each shingle that fit by size, place and parities; no row is made of the others."""
+        counted = placed.drop("c").join(placed.groupBy("k").agg(F.count("*").alias("c")), "k")
+        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        dealt = counted.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).join(self.marks.select("id", "parities"), "id")
+        lists = dealt.groupBy("k", "x", "y").agg(F.collect_list(F.struct("id", "own", "n", "i", "component", "parities")).alias("them"))
+
+        def near(p, q):
+            once = (q["id"] > p["id"]) & ((p["own"] != q["own"]) | (F.col("x") == F.col("y")))
+            return once & (p["component"] != q["component"]) & _sized(p, q, self.share) & _even(p["parities"], q["parities"], p["n"] + q["n"], self.share)
+
+        tried = F.flatten(F.transform("them", lambda p: F.transform(F.filter("them", lambda q: near(p, q)), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))))
+        return lists.select(F.inline(tried))
+
+
+def similar_labels(sets: DataFrame, unique: DataFrame, share: tuple[int, int] = SHARE, common: int = COMMON, rounds: int = ROUNDS, distance: int = 2) -> DataFrame | None:
+    """id and component of the distinct sets that have a similar one; None if there are none.
+
+    Every similar pair meets under a shingle, and what the rounds leave unconnected there is compared in full,
+    so components are exact. sets has id, n and found of every text, unique id and fp of one of each set.
     """
-    members = unique.select("id", "n", F.posexplode("first").alias("i", "k"))
-    live = written(members.groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1"), "live-shingles")
-    met = written(members.join(if_small(live), "k"), "met-shingles")
-    few = met.where(F.col("c") <= crowd).groupBy("k").agg(F.collect_list(F.struct("id", "n", "i")).alias("them"))
-    pair = lambda p, q: F.struct(p["id"].alias("a"), q["id"].alias("b"))
-    tried = F.flatten(F.transform("them", lambda p: F.transform(F.filter("them", lambda q: (q["id"] > p["id"]) & _sized(p, q, share)), lambda q: pair(p, q))))
-    many = met.where(F.col("c") > crowd)
-    stars = many.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    links = _verified(few.select(F.inline(tried)).union(stars), unique, tagged, width, share)
-    if many.isEmpty():
-        return links
-
-    linked = components(links).withColumnRenamed("node", "id")
-    placed = written(many.join(linked, "id", "left").select("k", "id", "n", "i", "c", F.coalesce("component", "id").alias("component")), "placed")
-    split = placed.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("k")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = placed.join(split, "k").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).join(unique.select("id", "parities"), "id")
-    lists = dealt.groupBy("k", "x", "y").agg(F.collect_list(F.struct("id", "own", "n", "i", "component", "parities")).alias("them"))
-
-    def near(p, q):
-        once = (q["id"] > p["id"]) & ((p["own"] != q["own"]) | (F.col("x") == F.col("y")))
-        return once & (p["component"] != q["component"]) & _sized(p, q, share) & _even(p["parities"], q["parities"], p["n"] + q["n"], share)
-
-    tried = F.flatten(F.transform("them", lambda p: F.transform(F.filter("them", lambda q: near(p, q)), lambda q: pair(p, q))))
-    return links.union(_verified(lists.select(F.inline(tried)), unique, tagged, width, share))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE, crowd: int = CROWD) -> DataFrame:
+    join = Similar(sets, unique, share, common)
+    join.add(join.fingerprint_links(distance))
+    placed = join.placed()
+    for turn in range(rounds):
+        if placed.isEmpty() or not join.add(join.with_one(placed, turn)):
+            break
+        placed = join.placed()
+    if not placed.isEmpty():
+        join.add(join.in_blocks(placed))
+    return join.labels
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE, common: int = COMMON, rounds: int = ROUNDS) -> DataFrame:
     """key and component_id (the smallest key reachable over similar texts, its own included) of every row of docs.
 
     A text of fewer words has one shingle; texts without words are copies of each other. Texts of equal sets are
     one in the search. Rows with a null key count as members, but give no component its number.
     """
     kind = docs.schema[key].dataType.simpleString()
-    tagged = docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text")).withColumn("tag", F.xxhash64("text"))
-    marked = map_rows(tagged, lambda k, t, tag: (k, tag, *marks(t, width, share)), f"key {kind}, tag long, h1 long, h2 long, n int, first array<long>, parities array<long>")
-    marked = written(marked, "shingle-marks")
-    grouped = marked.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parities").alias("parities"))
-    unique = written(grouped.withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
-    linked = components(similar(unique, tagged, width, share, crowd)).withColumnRenamed("node", "id")
-    classes = unique.join(linked, "id", "left").select("h1", "h2", "least", F.coalesce("component", "id").alias("component"))
+    texts = docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text"))
+    sets = map_rows(texts, lambda k, t: (k, *shingle_set(t, width)), f"key {kind}, h1 long, h2 long, n int, found array<long>, fp long")
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
+    unique = written(sets.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("key").alias("least"), F.min("fp").alias("fp")), "unique-sets")
+    labels = similar_labels(sets, unique, share, common, rounds)
+    classes = unique.withColumn("component", F.col("id")) if labels is None else unique.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     numbers = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.select("key", "h1", "h2").join(classes.join(numbers, "component").select("h1", "h2", "component_id"), ["h1", "h2"]).select(F.col("key").alias(key), "component_id")
+    named = classes.join(numbers, "component").select("h1", "h2", "component_id")
+    return sets.select("key", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("key").alias(key), "component_id")

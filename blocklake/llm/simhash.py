@@ -40,9 +40,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
-def simhash(text: bytes, width: int = 3) -> int:
-    """The fingerprint as a signed 64-bit integer: a bit is set if over half the hashes set it."""
-    hashes = shingle_hashes(text, width)
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes as a signed 64-bit integer: a bit is set if over half of them set it; without any it is 0."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -52,6 +51,10 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def simhash(text: bytes, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """key and fp of every row; a null or empty text has 0."""
     kind = docs.schema[key].dataType.simpleString()

@@ -65,8 +65,8 @@ def shingles(t, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_five_word_near_copies(spark, crowd):
+@pytest.mark.parametrize("common, rounds", [(32, 3), (3, 1), (1, 0)])
+def test_five_word_near_copies(spark, common, rounds):
     """Copies with a few words changed, far beyond two bits of a fingerprint, in groups small and crowded; against all pairs."""
     r = random.Random(7)
     words = [f"w{i}" for i in range(400)]
@@ -78,17 +78,17 @@ def test_five_word_near_copies(spark, crowd):
             for _ in range(r.randrange(5)):
                 copy[r.randrange(len(copy))] = r.choice(words)
             rows.append(copy[: len(copy) - r.randrange(12)])
-    common = [r.choice(words) for _ in range(30)]
-    rows += [common + [r.choice(words) for _ in range(r.randrange(2, 60))] for _ in range(60)]
+    passage = [r.choice(words) for _ in range(30)]
+    rows += [passage + [r.choice(words) for _ in range(r.randrange(2, 60))] for _ in range(60)]
     texts = [" ".join(x) for x in rows] + ["a b", "A  b", "", None]
     r.shuffle(texts)
     sets = [shingles(t) for t in texts]
     near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
     want = classes(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = shingle_join.near_duplicates(df, crowd=crowd).collect()
+    got = shingle_join.near_duplicates(df, common=common, rounds=rounds).collect()
     assert sorted((x["doc_id"], x["component_id"]) for x in got) == sorted((i, min(g)) for g in want for i in g)
-    if crowd == 64:
+    if common == 32:
         assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == sorted(min(g) for g in want)
 
 
