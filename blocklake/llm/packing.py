@@ -1,22 +1,20 @@
 """Packing into optimal length buckets.
 
-The lengths of all texts make a histogram of bounded size. Dynamic programming
-over it chooses the bucket boundaries with the least padding, and each bucket is
-cut into batches that hold up to a budget of tokens, padding included.
+The lengths of all texts make an exact histogram. Dynamic programming over it
+chooses the bucket boundaries with the least padding, and each bucket is cut into
+batches that hold up to a budget of tokens, padding included.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklake.llm.common import written
 
-#: Lengths up to EXACT stand for themselves in the histogram; longer ones share a bin with those within 1/FINE of them.
-EXACT, FINE = 512, 64
 BUCKETS, BUDGET = 16, 65_536
 #: Rows that are numbered in one group; a bucket of any size is dealt into groups of about this many.
 GROUP = 50_000
@@ -27,60 +25,65 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def bin_of(length: Column) -> Column:
-    """The histogram bin of a length: a number that grows with it, of which there are under EXACT + 64 * FINE."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / EXACT))
-    step = F.floor((length / (EXACT * F.pow(F.lit(2.0), octave)) - 1) * FINE)
-    return F.when(length <= EXACT, length).otherwise(EXACT + octave * FINE + step + 1).cast("long")
-
-
-def boundaries(longest: list[int], counts: list[int], totals: list[int], buckets: int) -> list[int]:
+def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """The greatest lengths of the buckets, ascending, with the least padding in all; from a histogram in order of length.
 
-    A bucket over bins i..j pads every text to the longest of bin j. best[k][j] is the least padding of the bins
-    before j in k buckets.
+    A bucket over lengths i..j pads every text to length j. Of the best cut before i only a line over the
+    greatest length matters: slope minus the texts before i, height the padding and the tokens before i. Slopes
+    fall and lengths grow, so the least line moves one way only and a layer takes time in proportion to the lengths.
     """
-    n = len(longest)
+    n = len(lengths)
     if not n:
         return []
-    top = np.asarray(longest, np.float64)
-    c, s = np.concatenate([[0.0], np.cumsum(counts)]), np.concatenate([[0.0], np.cumsum(totals)])
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
-    froms = []
+    before = [0, *accumulate(counts)]
+    tokens = [0, *accumulate(a * b for a, b in zip(lengths, counts, strict=True))]
+    best: list[float] = [0, *[float("inf")] * n]
+    origins = []
     for _ in range(min(buckets, n)):
-        new, origin = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        new, origin, hull, at = [float("inf")] * (n + 1), [0] * (n + 1), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + top[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            origin[j] = int(np.argmin(cost))
-            new[j] = cost[origin[j]]
-        froms.append(origin)
+            i = j - 1
+            if best[i] != float("inf"):
+                line = (before[i], best[i] + tokens[i], i)
+                while len(hull) - at >= 2 and (line[1] - hull[-2][1]) * (hull[-1][0] - hull[-2][0]) <= (hull[-1][1] - hull[-2][1]) * (line[0] - hull[-2][0]):
+                    hull.pop()
+                hull.append(line)
+            if at >= len(hull):
+                continue
+            top = lengths[j - 1]
+            value = lambda x: x[1] - top * x[0]  # noqa: B023, E731
+            while at + 1 < len(hull) and value(hull[at + 1]) <= value(hull[at]):
+                at += 1
+            new[j], origin[j] = value(hull[at]) + top * before[j] - tokens[j], hull[at][2]
+        origins.append(origin)
         best = new
-    # with as many buckets as bins there is no padding; fewer never pad less
+    # with as many buckets as lengths there is no padding; fewer never pad less
     out, j = [], n
-    for origin in reversed(froms):
+    for origin in reversed(origins):
         if j == 0:
             break
-        out.append(int(longest[j - 1]))
-        j = int(origin[j])
+        out.append(lengths[j - 1])
+        j = origin[j]
     return out[::-1]
 
 
 def pack(docs: DataFrame, length: Column, key: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """key, n_tokens, bucket, bucket_tokens (what its texts are padded to), batch, slot and padding, a row per row of docs.
 
+    length is what a token is counted by: word_count(), or a column of byte_bpe's token counts.
     Batches are numbered within a bucket; every one but the last holds budget // bucket_tokens texts (one at
     least, so a text beyond the budget is a batch of its own). Empty texts have 0 tokens and count as one each in
-    a batch. Equal rows, null keys and ties get slots of their own. Texts stay behind; only keys and lengths move.
+    a batch. Equal rows, null keys and ties get slots of their own. Texts stay behind; only keys and lengths move. What comes to the driver is the histogram, a
+    row for each different length.
     """
     rows = written(docs.select(F.col(key).alias("key"), length.cast("long").alias("n_tokens")).withColumn("row", F.monotonically_increasing_id()), "lengths")
-    histogram = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")).orderBy("bin").collect()
-    tops = boundaries([r["longest"] for r in histogram], [r["n"] for r in histogram], [r["total"] for r in histogram], buckets)
+    histogram = sorted(map(tuple, rows.groupBy("n_tokens").count().collect()))
+    tops = boundaries([a for a, _ in histogram], [n for _, n in histogram], buckets)
     if not tops:
         return rows.select(F.col("key").alias(key), "n_tokens", F.lit(0).alias("bucket"), F.col("n_tokens").alias("bucket_tokens"), F.lit(0).cast("long").alias("batch"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
     sizes = [0] * len(tops)
-    for r in histogram:
-        sizes[bisect_left(tops, r["longest"])] += r["n"]
+    for length_, n in histogram:
+        sizes[bisect_left(tops, length_)] += n
     bucket = F.lit(0)
     for i, top in enumerate(tops[:-1]):
         bucket = bucket + F.when(F.col("n_tokens") > top, 1).otherwise(0)

@@ -329,15 +329,23 @@ def test_packing_deals_hot_buckets(spark, monkeypatch):
     assert sorted((x["batch"], x["slot"]) for x in got) == [(i // 10, i % 10) for i in range(333)]
 
 
-def test_bins(spark):
-    df = spark.range(1, 20_000).union(spark.createDataFrame([(10**k,) for k in range(5, 12)], "id long")).select("id", packing.bin_of(F.col("id")).alias("bin"))
-    rows = sorted(tuple(r) for r in df.collect())
-    bins = [b for _, b in rows]
-    assert bins == sorted(bins) and len(set(bins)) < 1000 and all(b == n for n, b in rows if n <= packing.EXACT)
-    ends: dict = {}
-    for n, b in rows:
-        ends.setdefault(b, []).append(n)
-    assert all(max(v) <= min(v) * (1 + 2 / packing.FINE) for v in ends.values())
+def test_boundaries_against_all_cuts():
+    """Least padding over exact lengths, long ones included, against a plain dynamic programme."""
+    r = random.Random(5)
+    for _ in range(200):
+        lengths = sorted(r.sample(range(0, r.choice((30, 5000, 10**9))), r.randrange(1, 25)))
+        counts = [r.choice((1, 2, 50, 10**6)) for _ in lengths]
+        buckets = r.randrange(1, 8)
+        pad = lambda i, j: sum(c * (lengths[j] - n) for n, c in zip(lengths[i : j + 1], counts[i : j + 1], strict=True))  # noqa: B023, E731
+        best = [pad(0, j) for j in range(len(lengths))]
+        for _ in range(buckets - 1):
+            best = [min(best[j], *(best[i] + pad(i + 1, j) for i in range(j))) if j else best[j] for j in range(len(lengths))]
+        tops = packing.boundaries(lengths, counts, buckets)
+        assert len(tops) <= buckets and tops[-1] == lengths[-1] and tops == sorted(set(tops))
+        assert sum(c * (min(t for t in tops if t >= n) - n) for n, c in zip(lengths, counts, strict=True)) == best[-1]
+    began = time.process_time()
+    packing.boundaries(list(range(0, 400_000, 2)), [1] * 200_000, 16)
+    assert time.process_time() - began < 60
 
 
 def brute_simhash(t, width=3):
