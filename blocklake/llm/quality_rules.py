@@ -201,12 +201,14 @@ def rules_column(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """Rules from at most `sample` labelled rows (the least hashes of their keys), which come to the driver as nine ratios each.
 
-    A row without a label, or a key labelled both ways, is left out.
+    A row without a label, or a key labelled both ways, is left out. Of rows with an equal key the one with the
+    least ratios counts.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high")
     chosen = marks.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")  # at most `sample` rows
-    found = text_statistics(rows, "k", "t").join(F.broadcast(chosen), "k").select("k", "low", *RATIOS).limit(4 * sample).toPandas().sort_values(["k", *RATIOS])
+    single = text_statistics(rows, "k", "t").groupBy("k").agg(F.min(F.struct(*RATIOS)).alias("x"))  # a row for each chosen key at most
+    found = single.join(F.broadcast(chosen), "k").select("k", "low", "x.*").toPandas().sort_values("k")
     return learn_rules({name: found[name].to_numpy(float) for name in RATIOS}, found["low"].to_numpy() == 0)
 
 

@@ -172,6 +172,18 @@ def test_quality_rules_held_out(spark):
     assert quality_rules.judge(empty(spark), labels).count() == 0
 
 
+def test_quality_rules_on_held_out_labels(spark):
+    """Learned on one half of a table's labels, judged on the other; repeated ids change nothing from run to run."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.where("doc_id % 2 = 0")
+    out = {x["doc_id"]: x["kept"] for x in quality_rules.judge(docs, half).collect()}
+    held = [(out[x["doc_id"]], x["quality"] == 1) for x in labels.where("doc_id % 2 = 1 AND quality IS NOT NULL").collect()]
+    dropped = [good for kept, good in held if not kept]
+    assert len(held) > 100 and dropped.count(False) / len(dropped) >= 0.9 and dropped.count(False) / sum(not good for _, good in held) >= 0.9
+    twice = docs.union(docs.withColumn("text", F.upper("text")))
+    assert quality_rules.fit(twice, half) == quality_rules.fit(twice.orderBy(F.rand(3)), half) != []
+
+
 WORDS_ = [f"{a}{b}" for a in "ka lo mi ne ru ta so".split() for b in "per tin gol dar vex".split()]
 
 
