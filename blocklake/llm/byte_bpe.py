@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import map_rows
+from blocklake.llm.common import map_rows, written
 
 CHUNK, OVERLAP = 32_768, 1_024
 
@@ -53,8 +53,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
     """key, ids (little-endian unsigned 32-bit integers, binary) and decoded bytes (binary), a row per row of docs.
 
     vocabulary is a file of base64 tokens and ranks that every worker can read. A null text is empty and has no
-    ids. Texts of at most one chunk are encoded where they are read; only longer ones are chunked and shuffled,
-    by row and chunk, so one long text spreads over tasks. If two chunks share no boundary in their overlap
+    ids. A text of at most one chunk has nothing to stitch and is encoded where it is read; longer ones are dealt
+    by chunk, so one long text spreads over tasks; only boundaries meet to be stitched. If two chunks share no boundary in their overlap
     (a run longer than it), they are stitched without one: the pieces join and are encoded as one.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -70,39 +70,37 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
 
     # a row's identity: equal keys and texts are equal results, counted and repeated at the end
     long = rows.where(F.char_length("text") > chunk).groupBy("key", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    long = written(long.select(F.monotonically_increasing_id().alias("id"), "key", "copies", "text"), "long-texts")
     starts = F.expr(f"sequence(0, char_length(text) - 1, {chunk})")
-    cut = long.select("key", "digest", "copies", F.char_length("text").alias("n"), F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i + 1, F.lit(chunk + overlap)))).alias("no", "part"))
-    spread = cut.repartition(F.col("key"), F.col("digest"), F.col("no"))
+    cut = long.select("id", F.char_length("text").alias("n"), F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i + 1, F.lit(chunk + overlap)))).alias("no", "part"))
 
-    def pre_tokens(helper, k, d, copies, n, no, part):
+    def pre_tokens(helper, i, n, no, part):
         last = no * chunk + len(part) >= n
         head = boundaries(part, helper[2], 0, min(overlap, len(part)), last) if no else []
         tail = [e - chunk for e in boundaries(part, helper[2], chunk, chunk + overlap, last)]
-        return k, d, copies, no, part, head, tail
+        return i, no, part, head, tail
 
-    marked = map_rows(spread, pre_tokens, f"key {kind}, digest string, copies long, no int, part string, head array<int>, tail array<int>", init)
-    order = Window.partitionBy("key", "digest").orderBy("no")
+    marked = written(map_rows(cut.repartition("id", "no"), pre_tokens, "id long, no int, part string, head array<int>, tail array<int>", init), "chunks")
+    order = Window.partitionBy("id").orderBy("no")  # boundaries only; the chunks' texts stay where they are
     # where this chunk ends and the next begins: the first boundary that both have; null if there is none
-    met = marked.withColumn("stop", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
-    met = met.withColumn("start", F.lag("stop").over(order))
-    met = met.withColumn("joins", F.col("start").isNull() & (F.col("no") > 0))
+    met = marked.select("id", "no", "tail", F.lead("head").over(order).alias("next"), F.lead("no").over(order).isNull().alias("last"))
+    met = met.select("id", "no", "last", F.array_min(F.array_intersect("tail", "next")).alias("stop"))
+    met = met.withColumn("start", F.lag("stop").over(order)).withColumn("joins", F.col("start").isNull() & (F.col("no") > 0))
     # chunks without a shared boundary fall into one piece
     met = met.withColumn("piece", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
     body = F.when(F.col("joins"), 0).otherwise(F.coalesce("start", F.lit(0)))
-    end = F.when(F.col("stop").isNull(), F.lit(chunk)).otherwise(F.col("stop") + chunk)
-    is_last = F.lead("no").over(order).isNull()
-    met = met.withColumn("own", F.when(is_last, F.substring(F.col("part"), body + 1, F.lit(chunk + overlap))).otherwise(F.substring(F.col("part"), body + 1, end - body)))
-    pieces = met.groupBy("key", "digest", "copies", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "own"))), lambda x: x["own"]), "").alias("own"))
+    end = F.when(F.col("last"), F.lit(chunk + overlap)).when(F.col("stop").isNull(), F.lit(chunk)).otherwise(F.col("stop") + chunk)
+    own = marked.select("id", "no", "part").join(met, ["id", "no"]).select("id", "piece", "no", F.substring(F.col("part"), body + 1, end - body).alias("own"))
+    pieces = own.groupBy("id", "piece").agg(F.expr("listagg(own) WITHIN GROUP (ORDER BY no)").alias("own"))
 
-    def encode_piece(helper, k, d, copies, piece, own):
+    def encode_piece(helper, i, piece, own):
         ids = ids_bytes(own, helper[0])
-        return k, d, copies, piece, ids, decoded(ids, helper[1])
+        return i, piece, ids, decoded(ids, helper[1])
 
-    encoded = map_rows(pieces, encode_piece, f"key {kind}, digest string, copies long, piece long, ids binary, decoded binary", init)
-    stitched = encoded.groupBy("key", "digest", "copies").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("pieces"))
-    join = lambda name: F.aggregate("pieces", F.lit(b""), lambda whole, p: F.concat(whole, p[name]))
-    joined = stitched.select("key", F.explode(F.array_repeat(F.struct(join("ids").alias("ids"), join("decoded").alias("decoded")), F.col("copies").cast("int"))).alias("row"))
-    return short.unionByName(joined.select("key", "row.ids", "row.decoded")).withColumnRenamed("key", key)
+    encoded = map_rows(pieces, encode_piece, "id long, piece long, ids binary, decoded binary", init)
+    stitched = encoded.groupBy("id").agg(*[F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY piece)").alias(c) for c in ("ids", "decoded")])
+    joined = long.select("id", "key", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).join(stitched, "id")
+    return short.unionByName(joined.select("key", "ids", "decoded")).withColumnRenamed("key", key)
 
 
 def digest_tokens(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

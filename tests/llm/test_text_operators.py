@@ -130,6 +130,30 @@ def test_bpe(spark, chunk, overlap):
     assert byte_bpe.encode_texts(empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def plain_bpe(piece, ranks):
+    """Joins the neighbours of least rank again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_against_plain_merges(spark):
+    """Ids by merges written out, for texts of one chunk and of many."""
+    with open(VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    r = random.Random(2)
+    texts = [text(r, n) + "für 水x1 don't   \n\n%%% " * (n // 9) for n in (1, 9, 40, 200)] + ["", "x" * 90, "\U0001f600é" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: [x for m in regex.finditer(public_tokenizers.PATTERN, t) for x in plain_bpe(m.group().encode(), ranks)] for i, t in enumerate(texts)}
+    for chunk, overlap in ((32_768, 1_024), (40, 16)):
+        got = byte_bpe.encode_texts(df, VOCABULARY, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect()
+        assert {x["doc_id"]: np.frombuffer(x["ids"], "<u4").tolist() for x in got} == want and all(bytes(x["decoded"]).decode() == texts[x["doc_id"]] for x in got)
+
+
 def brute_statistics(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
