@@ -15,7 +15,10 @@ UNKNOWN = 2**64 - 1
 
 
 def lzma_compress(column: Column, preset: int = 6) -> Column:
-    """A value as .lzma with its size in the header and no end marker; the dictionary is a power of two. Null stays null."""
+    """A value as .lzma with its size in the header; the dictionary is a power of two. Null stays null.
+
+    The library ends its data with a marker, which readers that know the size leave unread.
+    """
 
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
@@ -24,7 +27,6 @@ def lzma_compress(column: Column, preset: int = 6) -> Column:
                 return None
             size = 1 << (min(max(len(v), 4096), sizes.PRESETS[preset][1] * 1024) - 1).bit_length()
             filters = [{"id": lzma.FILTER_LZMA1, "preset": preset, "dict_size": size}]
-            # the marker at the end does no harm: readers stop at the size that the header tells
             whole = lzma.compress(v, lzma.FORMAT_ALONE, filters=filters)
             return whole[:5] + len(v).to_bytes(8, "little") + whole[13:]
 

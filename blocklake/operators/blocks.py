@@ -1,9 +1,9 @@
 """Compressing by blocks, decoding only the blocks that are needed, and what lies between.
 
-Values are cut into blocks in the JVM, each block is encoded by a task of its
-own, and a value's stream is put together from its sorted blocks. Sizes of blocks
-follow from the data and the options alone, so the bytes never depend on how many
-partitions or executors there were.
+Values are cut into blocks in the JVM, blocks are dealt over all tasks to be encoded
+or decoded, and a value's stream is put together from its sorted blocks. Sizes of
+blocks follow from the data and the options alone, so the bytes never depend on how
+many partitions or executors there were.
 """
 
 from __future__ import annotations
@@ -76,6 +76,11 @@ class Options:
         return sizes.default_block(F.least(F.greatest(length, F.lit(4096)), F.lit(self.dict_size or sizes.PRESETS[self.preset][1] * 1024)))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all shuffle partitions by columns. The number is given, or adaptive execution would join small partitions whose rows take long."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def plan_blocks(df: DataFrame, key: str, data: str | None, block: Column, length: Column | None = None) -> DataFrame:
     """key, block_no, block_offset, block_length: where each value is cut. An empty value has no block."""
     n = length if length is not None else F.octet_length(data)
@@ -86,7 +91,7 @@ def plan_blocks(df: DataFrame, key: str, data: str | None, block: Column, length
 
 
 def encode_blocks(df: DataFrame, key: str, data: str, options: Options) -> DataFrame:
-    """key, block_no, unpadded_size, uncompressed_size and raw of every block, each encoded on its own and spread over tasks."""
+    """key, block_no, unpadded_size, uncompressed_size and raw of every block; the blocks of one value are dealt over all tasks."""
     planned = plan_blocks(df, key, data, options.block_bytes(F.octet_length(data)))
     blocks = planned.select(F.col(key), "block_no", F.expr("substring(data, cast(block_offset + 1 AS int), cast(block_length AS int))").alias("piece"))
 
@@ -97,7 +102,7 @@ def encode_blocks(df: DataFrame, key: str, data: str, options: Options) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unpadded, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], ["k", "block_no", "unpadded_size", "uncompressed_size", "raw"])
 
     kind = df.schema[key].dataType.simpleString()
-    return blocks.mapInArrow(run, f"k {kind}, block_no int, unpadded_size long, uncompressed_size long, raw binary").withColumnRenamed("k", key)
+    return spread(blocks, key, "block_no").mapInArrow(run, f"k {kind}, block_no int, unpadded_size long, uncompressed_size long, raw binary").withColumnRenamed("k", key)
 
 
 def assemble_streams(keys: DataFrame, blocks: DataFrame, key: str, check: str) -> DataFrame:
@@ -178,6 +183,20 @@ def located(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("uncompressed_offset", F.coalesce(F.sum("uncompressed_size").over(before), F.lit(0)))
 
 
+def running_sum(df: DataFrame, group: str, order: str, value: str, stride: int = 4096) -> DataFrame:
+    """df with running, the sum of value over the rows of a group up to each by an integer order (ties together).
+
+    A group is summed by strides of the order first; only these sums, far fewer than rows, meet in one task.
+    """
+    placed = df.withColumn("stride", F.floor(F.col(order) / stride))
+    sums = placed.groupBy(group, "stride").agg(F.sum(value).alias("total"))
+    before = Window.partitionBy(group).orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(F.col(group).alias("group_"), F.col("stride").alias("stride_"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begin"))
+    joined = placed.join(begins, F.col(group).eqNullSafe(F.col("group_")) & (F.col("stride") == F.col("stride_")))
+    own = F.sum(value).over(Window.partitionBy(group, "stride").orderBy(order))
+    return joined.withColumn("running", F.col("begin") + own).drop("stride", "group_", "stride_", "begin")
+
+
 def check_limit(blocks: DataFrame, limit: int) -> None:
     """Raises XzLimitError if a file's blocks hold more than a limit; reads sizes only and decodes nothing."""
     over = blocks.groupBy("path").agg(F.sum("uncompressed_size").alias("total")).where(F.col("total") > limit).orderBy("path").take(1)
@@ -188,7 +207,8 @@ def check_limit(blocks: DataFrame, limit: int) -> None:
 def decode(blocks: DataFrame, limit: int | None = None, contents: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """path, stream_no, block_no, uncompressed_offset, carry and data of the blocks that are left of a located block table.
 
-    Each task reads the byte ranges of its blocks only; with contents (path, content) it takes them from there.
+    The blocks of one file are dealt over all tasks, and each reads the byte ranges of its own only. With contents
+    (path, content) they are cut out there first, so no task holds a value beside its blocks.
     """
     names = ("path", "stream_no", "block_no", "uncompressed_offset", *carry)
     rows = blocks.select(*names, "compressed_offset", "padded_size", "unpadded_size", "uncompressed_size", "check_type")
@@ -196,6 +216,8 @@ def decode(blocks: DataFrame, limit: int | None = None, contents: DataFrame | No
         piece = F.expr("substring(content, cast(compressed_offset + 1 AS int), cast(padded_size AS int))")
         rows = rows.join(contents.select("path", "content"), "path").select(*rows.columns, piece.alias("raw"))
 
+    rows = spread(rows, "path", "stream_no", "block_no")
+
     def run(batches):
         reader, last = None, None
         for batch in batches:
@@ -214,14 +236,19 @@ def decode(blocks: DataFrame, limit: int | None = None, contents: DataFrame | No
     return rows.mapInArrow(run, f"{kinds}, data binary")
 
 
-def seek(blocks: DataFrame, requests: DataFrame) -> DataFrame:
+def seek(blocks: DataFrame, requests: DataFrame, stride: int = 1 << 20) -> DataFrame:
     """The blocks that requests (path, request_id, position, length) touch, with request_id and the part of each.
 
-    A file's requests and blocks meet by path, then by overlap. Positions past the end touch nothing.
+    Requests and blocks meet by path and by the strides of the data that they reach into, so a file with many of
+    both is no product of them; a pair counts in the first stride that both have. Positions past the end touch nothing.
     """
     end = F.col("uncompressed_offset") + F.col("uncompressed_size")
     stop = F.col("position") + F.col("length")
-    met = blocks.join(requests, "path").where((F.col("position") < end) & (stop > F.col("uncompressed_offset")))
+    strides = lambda a, b: F.explode(F.sequence(F.floor(a / stride), F.floor((b - 1) / stride)))
+    placed = blocks.where("uncompressed_size > 0").withColumn("stride", strides(F.col("uncompressed_offset"), end))
+    asked = requests.where("length > 0").withColumn("stride", strides(F.col("position"), stop))
+    met = placed.join(asked, ["path", "stride"]).where((F.col("position") < end) & (stop > F.col("uncompressed_offset")))
+    met = met.where(F.col("stride") == F.floor(F.greatest("position", "uncompressed_offset") / stride)).drop("stride")
     first = F.greatest(F.col("position") - F.col("uncompressed_offset"), F.lit(0))
     return met.withColumns({"piece_start": first, "piece_length": F.least(stop, end) - F.col("uncompressed_offset") - first})
 

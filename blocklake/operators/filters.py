@@ -6,7 +6,7 @@ import lzma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from blocklake.errors import XzDataError
@@ -14,14 +14,29 @@ from blocklake.functions.arm64 import arm64
 from blocklake.operators.blocks import RAW_IDS
 
 
-def delta_bytes(df: DataFrame, key: str, data: str, distance: int = 1) -> DataFrame:
-    """key, pos and value of every byte of every value minus the byte `distance` before it (0 before the first), by a window."""
-    digits = F.hex(F.col(data))
-    count = F.octet_length(data)
-    positions = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() AS array<int>)"))
-    bytes_ = df.select(F.col(key), digits.alias("digits"), F.explode(positions).alias("pos")).select(key, "pos", F.conv(F.substring("digits", 2 * F.col("pos") + 1, F.lit(2)), 16, 10).cast("int").alias("byte"))
-    before = F.lag("byte", distance, 0).over(Window.partitionBy(key).orderBy("pos"))
-    return bytes_.select(key, "pos", F.pmod(F.col("byte") - before, F.lit(256)).alias("value"))
+def delta_column(data: Column, distance: int = 1) -> Column:
+    """Every byte of a value minus the byte `distance` before it (0 before the first), by expressions over its own bytes. Null stays null."""
+    byte = lambda i: F.when(i > 0, F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int")).otherwise(0)
+    n = F.octet_length(data)
+    coded = F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.hex(F.pmod(byte(i) - byte(i - distance), F.lit(256))), 2, "0"))
+    return F.when(n > 0, F.unhex(F.array_join(coded, ""))).otherwise(data)
+
+
+def machine_code(words: int = 2048) -> bytes:
+    """Code by rule to try the branch converters on: IA-64 bundles, then 4-byte words with branches and page addresses of the other machines."""
+    out = bytearray()
+    for i in range(words // 8):
+        branch = 5 << 37 | (i * 40503 & 0xFFFFF) << 13 | i & 0x1C0
+        out += (0x10 | branch << 87).to_bytes(16, "little")
+    for i in range(words):
+        w = (i * 2654435761 + 12345) & 0xFFFFFFFF
+        made = {
+            0: b"\xe8" + (w & 0xFFFFFF).to_bytes(3, "little"), 1: bytes((w & 0xFF if w & 1 else 0, 0, 0, 0)), 2: (0x48000001 | w & 0x03FFFFFC).to_bytes(4, "big"), 3: (w & 0xFFFFFF).to_bytes(3, "little") + b"\xeb",
+            4: (0xF000 | w & 0x7FF).to_bytes(2, "little") + (0xF800 | w >> 11 & 0x7FF).to_bytes(2, "little"), 5: (0x40000000 | w & 0x3FFFFF).to_bytes(4, "big"),
+            6: (0x94000000 | w & 0x3FFFFFF).to_bytes(4, "little"), 7: (0x90000000 | w & 0x60000000 | (w & 0x7FF) << 5 | w & 31).to_bytes(4, "little"),
+        }
+        out += made.get(i % 9, w.to_bytes(4, "little"))
+    return bytes(out)
 
 
 def _delta(data: bytes, distance: int, encode: bool) -> bytes:

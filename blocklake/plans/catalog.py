@@ -6,6 +6,7 @@ give what plain SQL gives over the tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,12 +136,10 @@ def concat_streams(spark, sf_dir):
 @query("SELECT doc_id, running, running <= 100000 AS allowed FROM (SELECT doc_id, CAST(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS running FROM documents)")
 def limit_screen(spark, sf_dir):
     """Which values fit a limit, from the indexes alone."""
-    from pyspark.sql import Window
-
     total = tables.xz_streams(_archives(spark, sf_dir)).select(F.col("path").cast("long").alias("doc_id"), "uncompressed_size")
     found = total.join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    running = F.sum("uncompressed_size").over(Window.partitionBy("source").orderBy("doc_id"))
-    return found.select("doc_id", running.alias("running"), (running <= 100_000).alias("allowed"))
+    summed = blocks.running_sum(found, "source", "doc_id", "uncompressed_size")
+    return summed.select("doc_id", "running", (F.col("running") <= 100_000).alias("allowed"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS n_values FROM documents")
@@ -148,16 +147,27 @@ def index_check(spark, sf_dir):
     """The index against the decoded blocks: no difference, and every value read without an error."""
     packed = _archives(spark, sf_dir)
     located = blocks.located(tables.xz_blocks(packed))
-    bad = blocks.index_mismatches(located, blocks.decode(located, contents=packed)).agg(F.count("*").alias("mismatches"))
-    good = blocks.validation(packed).where("error IS NULL").agg(F.count("*").alias("n_values"))
-    return bad.crossJoin(good)  # one row each
+    bad = blocks.index_mismatches(located, blocks.decode(located, contents=packed)).select(F.lit(1).alias("bad"))
+    good = blocks.validation(packed).where("error IS NULL").select(F.lit(0).alias("bad"))
+    return bad.union(good).agg(F.count_if(F.col("bad") == 1).alias("mismatches"), F.count_if(F.col("bad") == 0).alias("n_values"))
 
 
-@query("SELECT 'data' AS error, count(*) AS n FROM documents")
+@query("SELECT kind, error, count(*) AS n FROM documents, (VALUES ('magic', 'format'), ('footer', 'format'), ('index', 'data'), ('cut', 'format'), ('none', NULL), ('bomb', 'limit')) AS k(kind, error) GROUP BY ALL")
 def damage_check(spark, sf_dir):
-    """A cut-off value is always found out."""
-    cut = _archives(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, octet_length(content) - 13)"))
-    return blocks.validation(cut.withColumn("content", F.concat("content", F.lit(b"\x00")))).groupBy(F.when(F.col("error").isin("data", "format"), "data").otherwise(F.col("error")).alias("error")).agg(F.count("*").alias("n"))
+    """Each kind of damage gives its kind of error: magic bytes gone, a checksum of the index changed, a value cut off, a size above a limit."""
+    content, n = F.col("content"), F.octet_length("content")
+    part = lambda start, size: F.substring(content, start, size)
+    index = n - 12  # the last byte of the index's checksum
+    turned = F.unhex(F.lpad(F.hex(F.pmod(F.conv(F.hex(part(index, F.lit(1))), 16, 10).cast("int") + 1, F.lit(256))), 2, "0"))
+    damaged = {
+        "magic": F.concat(F.lit(b"\x00"), part(F.lit(2), n)), "footer": F.concat(part(F.lit(1), n - 1), F.lit(b"\x00")),
+        "index": F.concat(part(F.lit(1), index - 1), turned, part(index + 1, F.lit(12))), "cut": part(F.lit(1), n - 4), "none": content,
+    }
+    packed = _archives(spark, sf_dir)
+    made = packed.select(F.explode(F.create_map(*[x for k, v in damaged.items() for x in (F.lit(k), v)])).alias("kind", "content"))
+    found = blocks.validation(made).select("kind", "error")
+    bombs = blocks.validation(packed.withColumn("content", blocks.xz_compress(F.lit(bytes(5000)), FAST)), limit=4999).select(F.lit("bomb").alias("kind"), "error")
+    return found.union(bombs).groupBy("kind", "error").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, block_no, sha256(encode(text)[block_offset + 1 : block_offset + block_length]) AS sha FROM ({PLAN_SQL}) JOIN documents USING (doc_id)")
@@ -174,9 +184,20 @@ def chunk_sizes(spark, sf_dir):
     return found.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.sum("uncompressed_size").alias("total"), F.countDistinct("stream_no", "block_no").alias("blocks"))
 
 
-@query()
+def _crc_sql(table: str, ones: int) -> str:
+    """A checksum in SQL: bytes folded over a table."""
+    return f"xor({ones}::UBIGINT, list_reduce(b, lambda c, x: xor(c >> 8, {table}.t[CAST(1 + (xor(c, x) & 255) AS BIGINT)]), {ones}::UBIGINT))"
+
+
+def _crc_table_sql(polynomial: int) -> str:
+    return f"SELECT list_transform(range(256), lambda i: list_reduce(list_transform(range(8), lambda k: k::UBIGINT), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {polynomial}::UBIGINT) ELSE c >> 1 END, i::UBIGINT)) AS t"
+
+
+@query(f"""WITH t64 AS MATERIALIZED ({_crc_table_sql(0xC96C5795D7870F42)}), t32 AS MATERIALIZED ({_crc_table_sql(0xEDB88320)}),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::UBIGINT) AS b FROM documents)
+SELECT doc_id, CAST({_crc_sql('t32', 2**32 - 1)} AS BIGINT) AS crc32, lpad(lower(hex({_crc_sql('t64', 2**64 - 1)})), 16, '0') AS crc64 FROM d, t64, t32""")
 def text_checks(spark, sf_dir):
-    """CRC32 and CRC64 of every text; DuckDB has neither."""
+    """CRC32 and CRC64 of every text."""
     return _texts(spark, sf_dir).select("doc_id", checks.crc32(F.col("data")).alias("crc32"), checks.crc64(F.col("data")).alias("crc64"))
 
 
@@ -214,19 +235,23 @@ def props_bytes(spark, sf_dir):
     return fields.withColumn("back", sizes.props_byte(F.col("lc"), F.col("lp"), F.col("pb")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({p[0]}, {p[1] * 1024}, {p[2]}, {p[3]}, {p[4]}, {p[5]}, '{p[6]}', '{p[7]}')" for p in sizes.PRESETS) + ") AS t(preset, dict_size, depth, extreme_depth, match_max, nice_length, finder, parser)")
+@query("""SELECT * FROM (VALUES (0, 65536, 8, 32, 128, 2, 'hc4', 'greedy'), (1, 1048576, 8, 32, 128, 2, 'hc4', 'greedy'), (2, 2097152, 16, 64, 273, 2, 'hc4', 'greedy'), (3, 4194304, 16, 64, 273, 32, 'hc4', 'lazy'),
+(4, 4194304, 32, 128, 273, 32, 'hc4', 'lazy'), (5, 8388608, 32, 128, 273, 32, 'hc4', 'lazy'), (6, 8388608, 64, 256, 273, 64, 'hc4', 'lazy'), (7, 16777216, 64, 256, 273, 64, 'bt4', 'optimal'),
+(8, 33554432, 128, 512, 273, 64, 'bt4', 'optimal'), (9, 67108864, 128, 512, 273, 64, 'bt4', 'optimal')) AS t(preset, dict_size, depth, extreme_depth, match_max, nice_length, finder, parser)""")
 def preset_table(spark, sf_dir):
     schema = "preset int, kib int, depth int, extreme_depth int, match_max int, nice_length int, finder string, parser string"
     found = spark.createDataFrame(list(sizes.PRESETS), schema)
     return found.select("preset", sizes.preset_dict(F.col("preset")).cast("int").alias("dict_size"), "depth", "extreme_depth", "match_max", "nice_length", "finder", "parser")
 
 
-@query("""WITH b AS (SELECT page_id, i - 1 AS pos, CAST(('0x' || substr(hex(encode(url)), 2 * i - 1, 2)) AS INTEGER) AS v FROM pages, generate_series(1, 400) AS g(i) WHERE i <= strlen(url))
-SELECT page_id, pos, (v - coalesce(lag(v, 2) OVER (PARTITION BY page_id ORDER BY pos), 0) + 256) % 256 AS value FROM b""")
+@query("""WITH h AS (SELECT page_id, list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda x: ('0x' || x)::INTEGER) AS b FROM pages),
+v AS (SELECT page_id, unnest(b) AS v, generate_subscripts(b, 1) AS pos FROM h),
+d AS (SELECT page_id, pos, (v - coalesce(lag(v, 2) OVER (PARTITION BY page_id ORDER BY pos), 0) + 256) % 256 AS value FROM v)
+SELECT page_id, sha256(string_agg(lpad(hex(value), 2, '0'), '' ORDER BY pos)) AS sha FROM d GROUP BY page_id""")
 def delta_window(spark, sf_dir):
-    """The delta filter as a window over bytes."""
-    found = filters.delta_bytes(_table(spark, sf_dir, "pages").select("page_id", F.col("url").cast("binary").alias("data")), "page_id", "data", 2)
-    return found.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("int").alias("value"))
+    """The delta filter over the bytes of whole pages, by expressions alone; SQL has it as a window."""
+    coded = filters.delta_column(F.col("html").cast("binary"), 2)
+    return _table(spark, sf_dir, "pages").where("octet_length(html) > 0").select("page_id", F.sha2(F.hex(coded), 256).alias("sha"))
 
 
 def _filter_query(name: str, distance: int):
@@ -243,6 +268,31 @@ for _name in ("delta", "x86", "powerpc", "ia64", "arm", "armthumb", "sparc", "ar
     _filter_query(_name, 3)
 
 
+#: What each filter makes of filters.machine_code(): digests that `xz --format=raw` and a loop over bytes (delta) confirm.
+FILTER_VECTORS = (
+    ("x86", "99243ea56ab98f63e1b7a99e10997e89a70f2cae17dc7781bb1c6e422a143754"),
+    ("powerpc", "c8a72818d2f40af2b0134ef66a173741d629048cfc4fbc8f9c434331a38a9014"),
+    ("ia64", "3d7c3fb31ac3e348d2c5ea88d54847680d5169b20078e875941465601019ed5a"),
+    ("arm", "65c7ce86006f8d768c6a1ad2072ad4ce196c50659d354c287ecfa9f4c7f1c307"),
+    ("armthumb", "a705a7007e6f707616b21b4abf11697eb28019416f51497e1c8dc8919436b24e"),
+    ("sparc", "b00ff481ba88729773443f742a70761216348ef845c1a214572e1deb28569863"),
+    ("arm64", "3b8684f2b9a850c24dc9859292c7b458abbe60e761754fc0737f63040a42da6b"),
+    ("delta", "df450f89b07b02aeeb38c2e2143a93cb1a780038a0b8b5352d44c7dea14fb41d"),
+)
+
+
+@query("SELECT name, sha, true AS undone FROM (VALUES " + ", ".join(f"('{n}', '{h}')" for n, h in FILTER_VECTORS) + ") AS t(name, sha)")
+def filter_vectors(spark, sf_dir):
+    """Every filter over code with branches, there and back."""
+    code = spark.createDataFrame([(filters.machine_code(),)], "data binary")
+    found = []
+    for name, _ in FILTER_VECTORS:
+        there = code.withColumn("coded", filters.byte_filter(F.col("data"), name, True, 3))
+        back = filters.byte_filter(F.col("coded"), name, False, 3)
+        found.append(there.select(F.lit(name).alias("name"), F.sha2("coded", 256).alias("sha"), (back == F.col("data")).alias("undone")))
+    return functools.reduce(DataFrame.union, found)
+
+
 @query("SELECT vec_id, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS sha FROM (SELECT vec_id, i, CAST(embedding[i] AS DECIMAL(18, 4)) AS x FROM embeddings, generate_series(1, 512) AS g(i) WHERE i <= len(embedding)) GROUP BY vec_id")
 def vectors_delta(spark, sf_dir):
     """Vectors packed as bytes, compressed with a delta of four bytes, and read back."""

@@ -127,7 +127,7 @@ def parse_index(data: bytes) -> list[tuple[int, int]]:
     for _ in range(count):
         unpadded, at = read_vli(data, at)
         size, at = read_vli(data, at)
-        if unpadded < 5:
+        if not 5 <= unpadded <= MAX_INT or size > MAX_INT:
             raise XzDataError("index record")
         out.append((unpadded, size))
     if len(data) - 4 - at > 3 or any(data[at:-4]):
@@ -174,8 +174,8 @@ def walk(read: Callable[[int, int], bytes], length: int) -> list[Stream]:
 
 def parse_block_header(data: bytes) -> tuple[list[tuple[int, bytes]], int | None, int | None, int]:
     """(filter id, properties) of the chain, compressed and uncompressed size if declared, and the header's length."""
-    size = (data[0] + 1) * 4
-    if data[0] == 0 or len(data) < size:
+    size = (data[0] + 1) * 4 if data else 0
+    if not data or data[0] == 0 or len(data) < size:
         raise XzDataError("block header cut off")
     if crc(data[: size - 4]) != data[size - 4 : size]:
         raise XzDataError("block header checksum")
@@ -263,6 +263,8 @@ def chunks(lzma2: bytes) -> Iterator[dict]:
         control = lzma2[at]
         if control == 0:
             return
+        if at + (3 if control in (1, 2) else 6 if control >= 0xC0 else 5) > len(lzma2):
+            raise XzDataError("LZMA2 chunk header cut off")
         if control >= 0x80:
             size = ((control & 0x1F) << 16 | lzma2[at + 1] << 8 | lzma2[at + 2]) + 1
             packed = (lzma2[at + 3] << 8 | lzma2[at + 4]) + 1
@@ -277,3 +279,34 @@ def chunks(lzma2: bytes) -> Iterator[dict]:
         else:
             raise XzDataError("LZMA2 control byte")
         no += 1
+
+
+def forward(data: bytes) -> Iterator[tuple[int, Block]]:
+    """Check id and place of every block from the start of a value on, without its indexes.
+
+    A block's sizes come from its header or else from its chunks, so what was written before an index got lost is
+    found. It ends at the first byte that is no stream, block, index or padding.
+    """
+    at = 0
+    while at < len(data):
+        try:
+            check = parse_header(data[at : at + 12])
+            at += 12
+            while data[at : at + 1] not in (b"", b"\0"):
+                _, packed, size, head = parse_block_header(data[at : at + 1024])
+                found = list(chunks(memoryview(data)[at + head : None if packed is None else at + head + packed]))
+                size = sum(c["uncompressed_size"] for c in found) if size is None else size
+                packed = 1 + sum(c["compressed_size"] + (3 if c["kind"] == "stored" else 5 + (c["props"] is not None)) for c in found) if packed is None else packed
+                block = Block(at, head + packed + check_size(check), size)
+                if at + block.unpadded_size > len(data):
+                    return
+                yield check, block
+                at += block.padded_size
+            count, end = read_vli(data, at + 1)
+            for _ in range(2 * count):
+                _, end = read_vli(data, end)
+            at += (end - at + 3) // 4 * 4 + 4 + 12  # the index with its padding and checksum, and the footer
+            while data[at : at + 4] == bytes(4):
+                at += 4
+        except XzError:
+            return

@@ -1,4 +1,4 @@
-"""format("xz"): a reader of whole files and a writer of folders of .xz files.
+"""format("xz"): a reader of files by parts and a writer of folders of .xz files.
 
 The reader has no pushFilters: it would change what a DataFrame means that is
 used twice. To prune, filter the block table and decode what is left.
@@ -6,7 +6,9 @@ used twice. To prune, filter the block table and decode what is left.
 
 from __future__ import annotations
 
+import fnmatch
 import os
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -25,33 +27,48 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class FilePart(InputPartition):
+    """The blocks of a file that begin within a range of its bytes."""
+
     path: str
+    start: int
+    stop: int
 
 
 class XzReader(DataSourceReader):
-    """A row per block: path, stream_no, block_no, uncompressed_offset, data. A task per file."""
+    """A row per block: path, stream_no, block_no, uncompressed_offset, data.
+
+    path is a file, a folder (with the folders in it) or a glob. Files are read in parts of about splitSize bytes:
+    a task reads the file's indexes and the blocks that begin in its part.
+    """
 
     def __init__(self, options: dict):
         self.path, self.limit = options["path"], int(options["maxoutputsize"]) if "maxoutputsize" in options else None
+        self.split = int(options.get("splitsize", 64 << 20))
 
     def partitions(self):
         store, path = _place(self.path)
-        info = store.get_file_info(path)
-        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path))
-        return [FilePart(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".xz")]
+        if re.search(r"[*?\[]", path):
+            root = re.split(r"/[^/]*[*?\[]", path)[0]  # the folders before the first pattern
+            found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if fnmatch.fnmatchcase(f.path, path)]
+        else:
+            root, info = path, store.get_file_info(path)
+            found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+        hidden = lambda f: any(p.startswith(("_", ".")) for p in f.path.removeprefix(root).split("/"))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".xz") and not hidden(f))
+        return [FilePart(p, at, min(n, at + self.split)) for p, n in files for at in range(0, max(n, 1), self.split)]
 
     def read(self, part):
         file = open_file(part.path)
-        at, total = 0, 0
+        at = 0
         streams = container.walk(lambda a, n: file.read_at(n, a), file.size())
         total = sum(b.uncompressed_size for s in streams for b in s.blocks)
         if self.limit is not None and total > self.limit:
             raise container.XzLimitError(f"{part.path}: {total} bytes, {self.limit} allowed")
         for i, s in enumerate(streams):
             for j, b in enumerate(s.blocks):
-                data = container.decode_block(file.read_at(b.padded_size, b.compressed_offset), s.check, b.unpadded_size, b.uncompressed_size)
-                yield part.path, i, j, at, data
-                at += len(data)
+                if part.start <= b.compressed_offset < part.stop:
+                    yield part.path, i, j, at, container.decode_block(file.read_at(b.padded_size, b.compressed_offset), s.check, b.unpadded_size, b.uncompressed_size)
+                at += b.uncompressed_size
 
 
 @dataclass
@@ -60,11 +77,29 @@ class Written(WriterCommitMessage):
 
 
 class XzWriter(DataSourceWriter):
-    """data of every row as a block; a file per task, seen only after the commit."""
+    """A file per task, seen only after the commit. With blockSize the data of its rows is one stream, cut into blocks of that size; without it a row is a block."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
         self.path, self.overwrite, self.column = options["path"], overwrite, schema.fieldNames().index("data")
-        self.options = Options(preset=int(options.get("preset", 6)), check=options.get("check", "crc64"), filter=options.get("filter"), delta_distance=int(options.get("deltadistance", 1)))
+        number = lambda name: int(options[name]) if name in options else None
+        self.options = Options(
+            preset=int(options.get("preset", 6)), extreme=options.get("extreme", "false").lower() == "true", check=options.get("check", "crc64"), dict_size=number("dictsize"),
+            block_size=number("blocksize"), filter=options.get("filter"), delta_distance=int(options.get("deltadistance", 1)),
+        )
+
+    def pieces(self, rows):
+        """The data of the blocks."""
+        size, held = self.options.block_size, bytearray()
+        for row in rows:
+            data = bytes(row[self.column] or b"")
+            if not size:
+                yield data
+                continue
+            held += data
+            while len(held) >= size:
+                yield bytes(held[:size])
+                del held[:size]
+        yield bytes(held)
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -75,8 +110,7 @@ class XzWriter(DataSourceWriter):
         store.create_dir(f"{path}/_temporary", recursive=True)
         with store.open_output_stream(f"{path}/_temporary/{name}") as out:
             out.write(container.stream_header(check))
-            for row in rows:
-                data = bytes(row[self.column] or b"")
+            for data in self.pieces(rows):
                 if data:
                     raw, unpadded, size = self.options.encode(data)
                     out.write(raw)

@@ -95,6 +95,16 @@ def xz_blocks(df: DataFrame, strict: bool = True) -> DataFrame:
     return _rows(BLOCKS, df, make, strict)
 
 
+def lost_blocks(df: DataFrame) -> DataFrame:
+    """path, block_no, compressed_offset, unpadded_size, padded_size, uncompressed_size and check_type of the blocks that a forward reading finds in each value (path, content), whether or not it still has an index."""
+
+    def make(path, read, n):
+        for i, (check, b) in enumerate(container.forward(read(0, n))):
+            yield {"path": path, "stream_no": 0, "block_no": i, "compressed_offset": b.compressed_offset, "unpadded_size": b.unpadded_size, "padded_size": b.padded_size, "uncompressed_size": b.uncompressed_size, "check_type": check}
+
+    return _rows("path string, stream_no int, block_no int, compressed_offset long, unpadded_size long, padded_size long, uncompressed_size long, check_type int", df, make, True)
+
+
 def lzma2_chunks(df: DataFrame) -> DataFrame:
     """A row per LZMA2 chunk of each file's blocks, found by their headers alone."""
 

@@ -62,6 +62,43 @@ def test_bytes_do_not_depend_on_partitions(spark):
     assert one == many and [lzma.decompress(x["content"]) for x in one] == [DATA[: 1000 * i] for i in range(8)]
 
 
+def test_blocks_are_dealt_over_tasks(spark):
+    """Of one value many tasks encode and decode blocks, and put it together again."""
+    df = spark.createDataFrame([(1, DATA)], "id long, data binary")
+    options = Options(preset=1, block_size=5000)
+    made = blocks.encode_blocks(df, "id", "data", options)
+    assert made.select(F.spark_partition_id()).distinct().count() == 4
+    packed = blocks.compress(df, "id", "data", options).select(F.col("id").cast("string").alias("path"), "content")
+    data = blocks.decode(blocks.located(tables.xz_blocks(packed)), contents=packed)
+    assert data.select(F.spark_partition_id()).distinct().count() == 4
+    assert b"".join(bytes(x["data"]) for x in data.orderBy("block_no").collect()) == DATA
+
+
+def test_slices_over_many_strides(spark):
+    located = spark.createDataFrame([("p", 0, i, 70 * i, 70) for i in range(40)], "path string, stream_no int, block_no int, uncompressed_offset long, uncompressed_size long")
+    r = random.Random(2)
+    asked = [("p", str(i), r.randrange(3000), r.choice((0, 1, 5, 400))) for i in range(60)]
+    want = sorted((i, b, max(p - 70 * b, 0), min(p + n, 70 * b + 70) - max(p, 70 * b)) for _, i, p, n in asked for b in range(40) if n and p < 70 * b + 70 and p + n > 70 * b)
+    for stride in (16, 100, 1 << 20):
+        got = blocks.seek(located, spark.createDataFrame(asked, "path string, request_id string, position long, length long"), stride)
+        assert sorted(tuple(x) for x in got.select("request_id", "block_no", "piece_start", "piece_length").collect()) == want
+
+
+def test_running_sums(spark):
+    r = random.Random(3)
+    rows = [(r.choice(("a", "b", None)), r.randrange(-50, 50), r.randrange(9)) for _ in range(200)]
+    got = blocks.running_sum(spark.createDataFrame(rows, "g string, o long, v long"), "g", "o", "v", 8).collect()
+    assert sorted(map(str, ((x["g"], x["o"], x["v"], x["running"]) for x in got))) == sorted(map(str, ((g, o, v, sum(c for a, b, c in rows if a == g and b <= o)) for g, o, v in rows)))
+
+
+def test_lost_index(spark):
+    whole = container.assemble(*(lambda made: ([m[0] for m in made], [(m[1], m[2]) for m in made], 4))([Options(preset=1).encode(DATA[i : i + 9000]) for i in range(0, 90_000, 9000)]))
+    df = spark.createDataFrame([("cut", whole[: len(whole) * 2 // 3])], "path string, content binary")
+    found = tables.lost_blocks(df).withColumn("uncompressed_offset", F.lit(0).cast("long"))
+    data = b"".join(bytes(x["data"]) for x in blocks.decode(found, contents=df).orderBy("block_no").collect())
+    assert data == DATA[: len(data)] and len(data) >= 45_000 and len(data) % 9000 == 0
+
+
 def test_strict_and_permissive(spark):
     good = lzma.compress(b"x" * 100)
     df = spark.createDataFrame([("good", good), ("cut", good[:-1]), ("magic", b"\x00" + good[1:]), ("empty", b"")], "path string, content binary")
@@ -87,6 +124,16 @@ def test_format(spark, folder, tmp_path):
     assert spark.read.format("xz").load(out).count() == 6
     with pytest.raises(Exception, match="allowed"):
         spark.read.format("xz").option("maxOutputSize", "10").load(out).count()
+    parts = spark.read.format("xz").option("splitSize", "3000").load(folder)  # a file's blocks over many tasks
+    rows_of = lambda d: sorted((x["path"], x["stream_no"], x["block_no"], x["uncompressed_offset"], bytes(x["data"])) for x in d.collect())
+    assert parts.rdd.getNumPartitions() > 10 and rows_of(parts) == rows_of(df)
+    nested = f"{out}/deeper/part"
+    os.makedirs(nested)
+    rows.select("data").coalesce(1).write.format("xz").mode("append").option("preset", "1").option("blockSize", "7000").option("dictSize", "8192").option("extreme", "true").save(nested)
+    (made,) = [f for f in os.listdir(nested) if f.endswith(".xz")]
+    cut = tables.xz_blocks(tables.files(spark, f"{nested}/{made}")).orderBy("block_no").collect()
+    assert [b["uncompressed_size"] for b in cut] == [7000] * 4 + [2000] and {b["dict_size"] for b in cut} <= {4096, 8192} and lzma.open(f"{nested}/{made}").read() == b"".join(bytes([65 + i]) * 5000 for i in range(6))
+    assert spark.read.format("xz").load(out).count() == 6 + 5 and spark.read.format("xz").load(f"{out}/part-*.xz").count() == 6 and spark.read.format("xz").load(f"{out}/*/*/*.xz").count() == 5
 
 
 def test_checks(spark):
@@ -100,9 +147,10 @@ def test_checks(spark):
 
     assert checks.crc64_of(b"123456789") == 0x995DC9BBDF1939FA and checks.crc64_of(b"") == 0
     r = random.Random(4)
-    for n in [*range(0, 40), 511, 512, 513, 1031, 2048]:
-        data = r.randbytes(n)
-        assert checks.crc64_of(data) == slow(data)
+    values = [r.randbytes(n) for n in [*range(0, 40), 255, 256, 257, 511, 512, 513, 1031, 2048, 5000]]
+    assert checks.crc64_many(values).tolist() == [slow(v) for v in values] and checks.crc64_many([]).tolist() == []
+    for data in values:
+        n = len(data)
         assert checks.crc64_of(data[n // 3 :], checks.crc64_of(data[: n // 3])) == slow(data) == checks.combine(slow(data[: n // 2]), slow(data[n // 2 :]), n - n // 2)
     row = spark.createDataFrame([(b"123456789",), (b"\x00",), (None,)], "d binary").select(checks.crc32(F.col("d")).alias("a"), checks.crc64(F.col("d")).alias("b")).collect()
     assert row[0]["a"] == 0xCBF43926 and row[1]["a"] == 0xD202EF8D and row[0]["b"] == "995dc9bbdf1939fa" and row[2]["b"] is None
@@ -122,8 +170,10 @@ def test_filters_undo_themselves(spark, name):
 def test_arm64_addresses():
     call = (0x94000001).to_bytes(4, "little")
     assert arm64(bytes(4) + call, 0, True)[4:] == (0x94000002).to_bytes(4, "little")
-    packed = lzma.compress(b"", lzma.FORMAT_XZ)
-    assert packed and arm64(b"abc", 0, True) == b"abc"
+    page = lambda n: (0x90000003 | (n & 3) << 29 | (n >> 2 & 0x7FFFF) << 5).to_bytes(4, "little")  # ADRP x3, n pages on
+    assert arm64(page(7), 0x5000, True) == page(12) and arm64(page(12), 0x5000, False) == page(7)
+    far = page(1 << 18)  # beyond 512 MiB: left alone
+    assert arm64(far, 0x5000, True) == far and arm64(b"abc", 0, True) == b"abc"
 
 
 def test_lzma_alone(spark):
