@@ -12,6 +12,7 @@ so the share of agreeing bins estimates the spans that two texts share.
 
 from __future__ import annotations
 
+import collections
 import functools
 
 import numpy as np
@@ -19,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import map_rows
+from blocklake.llm.common import map_rows, unused
 
 #: Primes under 2**31, so that products fit 64 bits, and a base for each.
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1812433253 % 2147483629)
 INVERSES = tuple(pow(base, prime - 2, prime) for base, prime in zip(BASES, PRIMES, strict=True))
 WIDTH, BINS = 16, 64
+#: Stands for a null key, and for the least hash.
+NULL = -(2**63)
 
 
 def reduced(x: np.ndarray, prime: int) -> np.ndarray:
@@ -134,35 +137,61 @@ def fingerprint_texts(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return map_rows(columns, row, f"key {kind}, text string, n_chars long, fingerprint string").withColumnRenamed("key", key)
 
 
-def with_next(rows: DataFrame, keys: DataFrame, key: str, carry: list[str], per_partition: int = 4) -> DataFrame:
+def range_cuts(keys: DataFrame, key: str, tie: str, per_partition: int, per_range: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of rows of nearly equal size begin, by descending key and then by a hash of tie: keys (inverted, so that they ascend) and hashes.
+
+    Approximate percentiles of the keys, which are keys of the data, are the cuts. A key that is several of them
+    has rows for several ranges: its rows are cut by even ranges of the hash, each of which begins with its least
+    one. Other cuts have the least number for a hash. At most 10,000 cuts come to the driver.
+    """
+    own = F.coalesce(F.col(key).cast("long"), F.lit(NULL))
+    n = keys.count()
+    parts = min(10_000, max(per_partition * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // per_range))
+    found = keys.agg(F.percentile_approx(own, [i / parts for i in range(1, parts)], 10_000).alias("cuts"), F.max(own).alias("top")).first()
+    counts = collections.Counter(found["cuts"] or [])
+    hot = [(k, c) for k, c in counts.items() if c > 1]
+    cuts = {(~k, NULL) for k in (*counts, *([] if found["top"] is None else [found["top"]])) if counts[k] < 2}
+    if hot:
+        many = keys.sparkSession.createDataFrame(hot, "own long, ranges int")  # a row for every second cut at most
+        rows = keys.select(own.alias("own"), F.xxhash64(tie).alias("h")).join(F.broadcast(many), "own")
+        firsts = rows.groupBy("own", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("ranges")).alias("part")).agg(F.min("h").alias("h"))
+        cuts |= {(~r["own"], r["h"]) for r in firsts.collect()}
+    order = sorted(cuts)
+    return np.array([k for k, _ in order], np.int64), np.array([h for _, h in order], np.int64)
+
+
+def with_next(rows: DataFrame, keys: DataFrame, key: str, carry: list[str], per_partition: int = 4, per_range: int = 50_000) -> DataFrame:
     """rows with carry's values of the next row by descending integer key as next_<name>; after the last row comes the first.
 
-    Approximate percentiles of keys (the same rows before any work on them), which are keys of the data, cut the keys into ranges of nearly equal size; the
-    largest key of a range is its cut, so its row is known and also goes to the end of the range before it.
-    One shuffle by range, and no task sees more than its ranges. Null keys come last and a lone row follows
-    itself; rows of an equal key stand in the order of their carried values.
+    Rows fall into ranges (range_cuts() over keys, the same rows before any work on them). The first row of a range
+    is known from its cut and also goes to the end of the range before it. One shuffle by range, and no task sees
+    more than its ranges. Null keys come last and a lone row follows itself; rows of an equal key stand in the
+    order of a hash of their first carried value and then of the values. Only equal rows stay in one range.
     """
-    parts = per_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = keys.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("cuts"), F.max(key).alias("top")).first()
-    cuts = sorted({*(found["cuts"] or []), *([] if found["top"] is None else [found["top"]])})  # at most parts numbers
-    array = np.array(cuts, np.int64)
     kind = rows.schema[key].dataType.simpleString()
-
-    least = -(2**63)  # stands for null: a column with nulls would come as floats
+    assert kind in ("bigint", "int", "smallint", "tinyint"), kind
+    cut_keys, cut_hashes = range_cuts(keys, key, carry[0], per_partition, per_range)
+    repeated = np.unique(cut_keys[cut_hashes != NULL])
 
     @F.pandas_udf("array<int>")
-    def ranges(keys: pd.Series) -> pd.Series:
-        own = keys.to_numpy(np.int64)
-        at, twice = np.searchsorted(array, own), np.isin(own, array) & (own != least)
-        return pd.Series([[int(a), (int(a) + 1) % len(array)] if t else [int(a)] for a, t in zip(at, twice, strict=True)])
-
-    slots = ranges(F.coalesce(F.col(key).cast("long"), F.lit(least))) if cuts else F.array(F.lit(0))
-    placed = rows.select("*", F.posexplode(slots).alias("ghost", "slot"))
-    window = Window.partitionBy("slot").orderBy("ghost", F.col(key).desc_nulls_last(), *carry)
-    assert kind in ("bigint", "int", "smallint", "tinyint"), kind
+    def ranges(own: pd.Series, hashes: pd.Series) -> pd.Series:
+        k, h = ~own.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        at = np.searchsorted(cut_keys, k, "right") - 1
+        for x in np.intersect1d(k, repeated):
+            low, high = np.searchsorted(cut_keys, x, "left"), np.searchsorted(cut_keys, x, "right")
+            which = k == x
+            at[which] = low + np.searchsorted(cut_hashes[low:high], h[which], "right") - 1
+        first = (k == cut_keys[at]) & ((cut_hashes[at] == NULL) | (h == cut_hashes[at]))
+        return pd.Series([[int(a), (int(a) - 1) % len(cut_keys)] if f else [int(a)] for a, f in zip(at, first, strict=True)])
+
+    (tie,) = unused(rows, "tie")
+    hashed = rows.withColumn(tie, F.xxhash64(carry[0]))
+    slots = ranges(F.coalesce(F.col(key).cast("long"), F.lit(NULL)), F.col(tie)) if len(cut_keys) else F.array(F.lit(0))
+    placed = hashed.select("*", F.posexplode(slots).alias("ghost", "slot"))
+    window = Window.partitionBy("slot").orderBy("ghost", F.col(key).desc_nulls_last(), tie, *carry)
     # column by column: of a struct Spark would shuffle a second copy
     following = {f"next_{c}": F.coalesce(F.lead(c).over(window), F.first(c).over(window)) for c in carry}
-    return placed.withColumns(following).where("ghost = 0").drop("ghost", "slot")
+    return placed.withColumns(following).where("ghost = 0").drop("ghost", "slot", tie)
 
 
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +203,8 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     kind = docs.schema[key].dataType.simpleString()
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    paired = with_next(fingerprint_texts(docs, key, text), docs, key, ["text", "fingerprint"])
+    keys = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("text"))
+    paired = with_next(fingerprint_texts(docs, key, text), keys, key, ["text", "fingerprint"])
     edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
 
     def row(k, n, digest, own, following, t, e):

@@ -242,6 +242,27 @@ def test_fingerprints(spark):
     assert document_fingerprint.edited_likeness(documents(spark)).count() == documents(spark).count() and document_fingerprint.edited_likeness(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("per_partition, per_range", [(1, 50_000), (4, 50_000), (1, 7)])
+def test_next_rows_with_hot_keys(spark, per_partition, per_range):
+    """A key that a third of all rows share, null keys and equal rows: every row has its follower in one cycle over all rows."""
+    r = random.Random(6)
+    rows = [(r.randrange(60), f"t{r.randrange(10**6)}") for _ in range(150)] + [(77, f"h{i}") for i in range(120)] + [(None, f"n{i % 40}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = document_fingerprint.with_next(df, df, "doc_id", ["text"], per_partition, per_range).collect()
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    assert sorted(map(str, ((x["doc_id"], x["text"]) for x in got))) == sorted(map(str, rows))
+    assert sorted(x["next_text"] for x in got) == sorted(t for _, t in rows)
+    of = {}
+    for k, t in rows:
+        of.setdefault(t, set()).add(k)
+    for x in got:  # a follower has the key itself or that of the next lower group
+        keys = list(dict.fromkeys(k for k, _ in order))
+        i = keys.index(x["doc_id"])
+        assert of[x["next_text"]] & {x["doc_id"], keys[(i + 1) % len(keys)]}
+    if per_range == 7:
+        assert len(document_fingerprint.range_cuts(df, "doc_id", "text", per_partition, per_range)[0]) > 30
+
+
 def test_spans_and_extensions():
     r = random.Random(7)
     a, b = "".join(r.choice("ab水") for _ in range(400)), "".join(r.choice("ab水") for _ in range(300))
