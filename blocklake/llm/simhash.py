@@ -23,7 +23,7 @@ from blocklake.llm.common import map_rows, utf8, written
 from blocklake.llm.components import components
 
 BITS = 64
-#: Of keys with more fingerprints than this, these link through their neighbours of half the distance instead.
+#: Of keys with more fingerprints than this, these meet again under more bits, and at last through their neighbours of half the distance.
 CROWD = 64
 
 
@@ -162,29 +162,50 @@ def _rows(rows: list[tuple], names: tuple[str, ...]) -> F.Column:
     return F.array(*[F.struct(*[F.lit(x).cast("long" if isinstance(x, int) and not isinstance(x, bool) else "boolean").alias(n) for x, n in zip(row, names, strict=True)]) for row in rows])
 
 
+def _met(members: DataFrame, by: list[str], name: str) -> DataFrame:
+    """members of keys with two fingerprints or more, with their count c."""
+    return written(members.join(members.groupBy(*by).agg(F.count("*").alias("c")).where("c > 1"), by), name)
+
+
+def _near_pairs(met: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """a < b: pairs under one key within the distance."""
+    near = lambda x, y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= distance)
+    few = met.groupBy(*by).agg(F.collect_list("fp").alias("fps"))
+    pairs = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return few.select(F.inline(pairs))
+
+
 def links(unique: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
     """a, b: links between distinct fingerprints that connect all at `distance` or fewer differing bits.
 
-    Under a key with up to `crowd` fingerprints all pairs are verified. The rest, whatever their number, link
-    exactly and without pairs: two fingerprints are that near just if some point lies within half the distance
-    of both (rounded up for one), and a point has a bounded number of those, so each links to the least there.
+    Under a key with up to `crowd` fingerprints all pairs are verified. Others meet again: beside the bits of the
+    key the rest is within the distance too, so it is equal in one of distance + 1 parts. What still crowds,
+    whatever its number, links exactly and without pairs: two fingerprints are that near just if some point lies
+    within half the distance of both (rounded up for one), and a point has a bounded number of those, so each
+    links to the least there.
     """
-    keys = [(g, mask_of(bits), m) for g, (bits, t) in enumerate(plan_groups(unique, distance)) for m in neighbours(bits, t)]
+    plan = plan_groups(unique, distance)
+    keys = [(g, mask_of(bits), m) for g, (bits, t) in enumerate(plan) for m in neighbours(bits, t)]
     members = unique.select("fp", F.inline(_rows(keys, ("g", "mask", "flip")))).select("fp", "g", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("v"))
-    counts = members.groupBy("g", "v").agg(F.count("*").alias("c")).where("c > 1")
-    met = written(members.join(counts, ["g", "v"]), "met")
-    near = lambda x, y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= distance)
-    few = met.where(F.col("c") <= crowd).groupBy("g", "v").agg(F.collect_list("fp").alias("fps"))
-    pairs = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    small = few.select(F.inline(pairs))
-
-    crowded = met.where(F.col("c") > crowd).select("fp").distinct()
+    met = _met(members, ["g", "v"], "met")
+    found = _near_pairs(met.where(F.col("c") <= crowd), ["g", "v"], distance)
+    crowded = met.where(F.col("c") > crowd)
+    if crowded.isEmpty():
+        return found.distinct()
+
+    rest = [[b for b in range(BITS) if b not in bits] for bits, _ in plan]
+    parts = [(g, p, mask_of(r[p :: distance + 1])) for g, r in enumerate(rest) for p in range(distance + 1)]
+    finer = crowded.select("fp", "g", "v", F.inline(_rows(parts, ("own", "p", "part")))).where("g = own").select("fp", "g", "v", "p", F.col("fp").bitwiseAND(F.col("part")).alias("w"))
+    again = _met(finer, ["g", "v", "p", "w"], "met-again")
+    found = found.union(_near_pairs(again.where(F.col("c") <= crowd), ["g", "v", "p", "w"], distance))
+
+    crowded = again.where(F.col("c") > crowd).select("fp").distinct()
     inner = len(neighbours(list(range(BITS)), distance // 2))
     flips = [(m, i < inner) for i, m in enumerate(neighbours(list(range(BITS)), (distance + 1) // 2))]
     points = crowded.select("fp", F.inline(_rows(flips, ("flip", "inner")))).select("fp", "inner", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     points = points.groupBy("point").agg(F.collect_list("fp").alias("fps"), F.min(F.when(F.col("inner"), F.col("fp"))).alias("a")).where("a IS NOT NULL AND size(fps) > 1")
     large = points.select("a", F.explode("fps").alias("b")).where("a != b")
-    return small.union(large).distinct()
+    return found.union(large).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
