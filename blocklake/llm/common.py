@@ -24,13 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths that written() has made inside each settled() that is under way, the innermost last.
+_made: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: it cuts lineage, outlives executors, and its rows no longer change."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    if _made:
+        _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a table in the shared folder. The tables that make() wrote on its way there are deleted: nothing needs them any more."""
+    _made.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        paths = _made.pop()
+    kept = paths.pop()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if _made:
+        _made[-1].append(kept)
+    return out
+
+
 #: A table of up to so many narrow rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 SMALL = 500_000
 
@@ -40,13 +62,21 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _cells(column: pa.Array) -> list:
+    """A column's values; arrays of numbers as NumPy arrays, which make no object of each number."""
+    if not (pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type)):
+        return column.to_pylist()
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, init: Callable[[], object] | None = None) -> DataFrame:
     """df's columns through row(*values) -> tuple, batch by batch; init() makes a helper once per task, passed first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         helper = (init(),) if init else ()
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            columns = [_cells(c) for c in batch.columns]
             rows = [row(*helper, *values) for values in zip(*columns, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), target, strict=True)], schema=target)

@@ -11,12 +11,11 @@ edit distance whose band of 2 * threshold + 1 diagonals is a few machine words.
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import if_small, let, shared_dir, unused, written
+from blocklake.llm.common import if_small, let, settled, unused, written
 from blocklake.llm.components import components
 
 #: The threshold: an edit for every PER characters of the shorter line, DISTANCE at most.
@@ -190,11 +189,9 @@ def line_links(lines: DataFrame, distance: int = DISTANCE, per: int = PER) -> Da
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, per: int = PER) -> DataFrame:
     """key, version, line_no, h1, h2, class_key, class_line, n_links, n_copies and kept of every line that has a copy or a link."""
     counted = occurrences(docs, key, text).groupBy("line").agg(F.min("key").alias("first"), F.count("*").alias("n_copies"))
-    path = f"{shared_dir(docs.sparkSession)}/lines-{uuid.uuid4().hex}"
-    counted.withColumn("id", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    lines = docs.sparkSession.read.parquet(path)
-    links = written(line_links(lines, distance, per), "links")
-    linked = components(links)
+    lines = written(counted.withColumn("id", F.monotonically_increasing_id()), "lines", "zstd")
+    links = settled(docs.sparkSession, lambda: line_links(lines, distance, per), "links")
+    linked = settled(docs.sparkSession, lambda: components(links), "linked")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     near = written(linked.join(degree, linked["node"] == degree["id"]).select("id", "component", "n_links"), "near")
     marked = hashed(lines.join(if_small(near), "id", "left").where("n_copies > 1 OR component IS NOT NULL")).select("h1", "h2", "first", "n_copies", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -216,7 +213,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", distan
     empty; null keys come last; rows of an equal key are versions of one document.
     """
     every = occurrences(docs, key, text).select("key", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
-    found = repeated_lines(docs, key, text, distance, per).drop("version").distinct()
+    found = settled(docs.sparkSession, lambda: repeated_lines(docs, key, text, distance, per).drop("version").distinct(), "repeated-lines")
     joined = every.join(found, ["key", "line_no", "h1", "h2"], "left")
     bare = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c))
     return joined.select(
@@ -231,7 +228,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Blank lines stay. All columns of docs stay, whatever their names; a text of which nothing is left is empty.
     What goes is gathered for a key and a text together, so null and repeated keys gather no more than a text has.
     """
-    dropped = repeated_lines(docs, key, text, distance, per).where("NOT kept")
+    dropped = settled(docs.sparkSession, lambda: repeated_lines(docs, key, text, distance, per).where("NOT kept"), "dropped-lines")
     k, v, gone = unused(docs, "k", "v", "gone")
     lists = dropped.groupBy(F.col("key").alias(k), F.col("version").alias(v)).agg(F.collect_set("line_no").alias(gone))
     keyed = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), v: F.xxhash64(text)})

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklake.llm import simhash
-from blocklake.llm.common import if_small, map_rows, utf8, written
+from blocklake.llm.common import if_small, map_rows, settled, utf8, written
 from blocklake.llm.components import components
 from blocklake.llm.line_dedup import BLOCK
 
@@ -76,13 +76,12 @@ class Similar:
     def __init__(self, sets: DataFrame, unique: DataFrame, share: tuple[int, int], common: int):
         self.sets, self.unique, self.share = sets, unique, share
         ids = if_small(unique.select("id"))
-        own = written(sets.select("id", "n", "found").join(ids, "id", "left_semi"), "distinct-sets")
+        own = sets.select("id", "n", "found").join(ids, "id", "left_semi")
         plain = own.select(F.explode(F.expr(f"slice(found, 1, n - cast(ceil({share[0]} * n / {share[1]}) AS int) + 1)")).alias("k"))
         often = plain.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > common).orderBy(F.desc("c"), "k").limit(MOST_COMMON)
         late = unique.sparkSession.sparkContext.broadcast(often.toPandas()["k"].to_numpy(np.int64))  # at most MOST_COMMON numbers
 
         def row(i, n, found):
-            found = np.asarray(found, np.int64)
             return i, n, first_shingles(found, share, late.value), parities(found.view(np.uint64), PARITIES)
 
         self.own = own
@@ -99,21 +98,22 @@ class Similar:
         fitting = candidates.where("a != b").distinct().join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b").where(_even(F.col("p"), F.col("q"), size, share))
         left = written(fitting.select("a", "b", "m", "n"), "fitting")
         ends = written(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "ends")
-        sets = map_rows(self.own.join(if_small(ends), "id", "left_semi").select("id", "found"), lambda i, f: (i, f, parities(np.asarray(f, np.int64).view(np.uint64), WIDE)), "id long, found array<long>, wide array<long>")
+        sets = map_rows(self.own.join(if_small(ends), "id", "left_semi").select("id", "found"), lambda i, f: (i, f, parities(f.view(np.uint64), WIDE)), "id long, found array<long>, wide array<long>")
         sets = written(sets, "sets")
         p, q = sets.select(F.col("id").alias("a"), F.col("wide").alias("p")), sets.select(F.col("id").alias("b"), F.col("wide").alias("q"))
         left = written(left.join(p, "a").join(q, "b").where(_even(F.col("p"), F.col("q"), size, share)).select("a", "b", "m", "n"), "fitting")
         x, y = sets.select(F.col("id").alias("a"), F.col("found").alias("x")), sets.select(F.col("id").alias("b"), F.col("found").alias("y"))
         enough = F.size(F.array_intersect("x", "y")) * (share[0] + share[1]) >= size * share[0]
-        return written(left.join(x, "a").join(y, "b").where(enough).select("a", "b"), "similar")
+        return left.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
     def add(self, candidates: DataFrame) -> bool:
         """Verifies candidates; whether there are new links."""
-        found = self.verified(candidates)
+        spark = self.unique.sparkSession
+        found = settled(spark, lambda: self.verified(candidates), "similar")
         if found.isEmpty():
             return False
         self.links = found if self.links is None else written(self.links.union(found).distinct(), "similar")
-        self.labels = written(components(self.links).withColumnRenamed("node", "id"), "similar-labels")
+        self.labels = settled(spark, lambda: components(self.links).withColumnRenamed("node", "id"), "similar-labels")
         return True
 
     def placed(self) -> DataFrame:
@@ -125,7 +125,7 @@ class Similar:
     def fingerprint_links(self, distance: int) -> DataFrame:
         """Candidates from fingerprints within a few bits, and from equal ones."""
         first = self.unique.groupBy("fp").agg(F.min("id").alias("first"))
-        near = simhash.links(first.select("fp"), distance)
+        near = settled(self.unique.sparkSession, lambda: simhash.links(first.select("fp"), distance), "fingerprint-links")
         a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
         equal = self.unique.select("fp", "id").join(first, "fp").where("id != first").select(*_pair("first", "id"))
         return near.join(a, "a").join(b, "b").select(*_pair("x", "y")).union(equal)
@@ -176,6 +176,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     A text of fewer words has one shingle; texts without words are copies of each other. Texts of equal sets are
     one in the search. Rows with a null key count as members, but give no component its number.
     """
+    return settled(docs.sparkSession, lambda: _classes(docs, key, text, width, share, common, rounds), "near-duplicates")
+
+
+def _classes(docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int], common: int, rounds: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text"))
     sets = map_rows(texts, lambda k, t: (k, *shingle_set(t, width)), f"key {kind}, h1 long, h2 long, n int, found array<long>, fp long")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklake.llm.common import map_rows, utf8, written
+from blocklake.llm.common import map_rows, settled, utf8, written
 from blocklake.llm.components import components
 
 BITS = 64
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     marked = written(fingerprints(docs, key, text, width), "fingerprints")
     unique = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "unique")
-    linked = components(links(unique, distance))
+    linked = settled(docs.sparkSession, lambda: components(links(unique, distance)), "linked")
     grouped = unique.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = written(grouped.join(least, "component").select("fp", "component_id"), "classes")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from blocklake.llm import line_dedup, packing, secret_scan, simhash, warc
+from blocklake.llm import common, line_dedup, packing, secret_scan, simhash, warc
 from blocklake.llm.common import shared_dir
 from blocklake.llm.components import components
 from tests.llm.fixtures import documents, empty
@@ -434,6 +434,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    inner = lambda: common.settled(spark, lambda: common.written(spark.range(5), "a").union(common.written(spark.range(3), "b")), "c")
+    out = common.settled(spark, lambda: inner().union(common.written(spark.range(2), "d")), "e")
+    assert out.count() == 10 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["e"]
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, lambda: common.written(spark.range(2), "f").limit(1 // 0), "g")
+    assert common._made == []
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(40)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(500, 500), (1, 0), (1, 0), (None, 3)]
