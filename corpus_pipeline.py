@@ -7,11 +7,13 @@ documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklake.llm import line_dedup, packing, quality_rules, secret_scan, shingle_join
-from blocklake.llm.common import table, written
+from blocklake.llm.common import settled, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,7 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group connected by a five-word Jaccard similarity of 0.8 or more, that with the smallest id.
 
-    Documents without an id stay. The pairs are exact: fingerprints of similar texts lie too far apart for them.
+    Documents without an id stay. The operator's fingerprints (five words, 2 bits) give the first links, each
+    verified on the whole sets; texts whose fingerprints lie further apart are found by their shingles.
     """
     found = shingle_join.near_duplicates(docs)
     extra = written(found.where("doc_id != component_id").select("doc_id"), "extra")
@@ -54,13 +57,13 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_duplicates), ("secret scans", secrets), ("packing", batches)]
 
-#: SQL can't express the learned rules, the fingerprints or the packing; tests hold the pipeline against brute force.
+#: SQL can't express the learned rules, the fingerprints or the packing; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents; each result is written to the shared folder and read again."""
+    """The stages one after the other over documents; each result is written to the shared folder and read again, and what its stage wrote beside it is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, functools.partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import re
 import time
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -225,7 +226,10 @@ def near_lines(r, n=12):
 def near_by(a, b, distance, per):
     """Whether two different lines are within an edit for every `per` characters of the shorter one."""
     k = min(distance, min(len(a), len(b)) // per)
-    return k > 0 and abs(len(a) - len(b)) <= k and edit_distance(a, b) <= k
+    if k <= 0 or abs(len(a) - len(b)) > k:
+        return False
+    x, y = Counter(a), Counter(b)
+    return (x - y).total() + (y - x).total() <= 2 * k and edit_distance(a, b) <= k
 
 
 @pytest.mark.parametrize("distance, per", [(1, 5), (2, 4), (2, 5), (3, 3)])
