@@ -11,6 +11,8 @@ one text for each shingle, and every link is verified on the whole sets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,7 @@ PARITIES, WIDE = 1024, 8192
 #: Shingles under which more sets meet come last in the order; so many of them at most. Both change the work, never the result.
 COMMON, MOST_COMMON = 32, 1 << 20
 #: Rounds in which every shingle's sets are compared with one of them, another in each round, before the rest is compared in blocks.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def parities(found: np.ndarray, bits: int) -> np.ndarray:
@@ -106,10 +108,10 @@ class Similar:
         enough = F.size(F.array_intersect("x", "y")) * (share[0] + share[1]) >= size * share[0]
         return left.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
-    def add(self, candidates: DataFrame) -> bool:
-        """Verifies candidates; whether there are new links."""
+    def add(self, candidates: Callable[[], DataFrame]) -> bool:
+        """Verifies candidates, and deletes the tables that they came from; whether there are new links."""
         spark = self.unique.sparkSession
-        found = settled(spark, lambda: self.verified(candidates), "similar")
+        found = settled(spark, lambda: self.verified(candidates()), "similar")
         if found.isEmpty():
             return False
         self.links = found if self.links is None else written(self.links.union(found).distinct(), "similar")
@@ -159,14 +161,11 @@ def similar_labels(sets: DataFrame, unique: DataFrame, share: tuple[int, int] =
     so components are exact. sets has id, n and found of every text, unique id and fp of one of each set.
     """
     join = Similar(sets, unique, share, common)
-    join.add(join.fingerprint_links(distance))
-    placed = join.placed()
+    join.add(lambda: join.fingerprint_links(distance))
     for turn in range(rounds):
-        if placed.isEmpty() or not join.add(join.with_one(placed, turn)):
+        if not join.add(lambda: join.with_one(join.placed(), turn)):  # noqa: B023
             break
-        placed = join.placed()
-    if not placed.isEmpty():
-        join.add(join.in_blocks(placed))
+    join.add(lambda: join.in_blocks(join.placed()))
     return join.labels
 
 
