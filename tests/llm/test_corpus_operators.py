@@ -232,7 +232,7 @@ def near_by(a, b, distance, per):
     return (x - y).total() + (y - x).total() <= 2 * k and edit_distance(a, b) <= k
 
 
-@pytest.mark.parametrize("distance, per", [(1, 5), (2, 4), (2, 5), (3, 3)])
+@pytest.mark.parametrize("distance, per", [(1, 5), (2, 4), (3, 3)])
 @pytest.mark.parametrize("block", [32, 2])
 def test_line_links(spark, distance, per, block, monkeypatch):
     """Thresholds that grow with the length, and crowds, against all pairs."""
@@ -448,6 +448,25 @@ def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
     assert common._made == []
 
 
+def test_shared_folder_of_a_cluster(spark):
+    """Unset: a local session gets one of its own, a cluster an error."""
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        getConf = staticmethod(dict)
+        getCheckpointDir = lambda self: self.dir
+        setCheckpointDir = lambda self, path: setattr(self, "dir", path)
+
+    session = lambda master: type("Session", (), {"sparkContext": Context(master)})()
+    assert shared_dir(session("local[4]")) and shared_dir(session("local"))
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(40)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(500, 500), (1, 0), (1, 0), (None, 3)]

@@ -344,7 +344,7 @@ HOSTILE = ['<p class="' * 100_000, "<p class='x\" " * 80_000, "<div>" * 200_000
 @pytest.mark.parametrize("page", HOSTILE, ids=lambda p: p[:12])
 def test_html_takes_linear_time(page):
     took = []
-    for part in (page[: len(page) // 4], page):
+    for part in (page[: len(page) // 8], page[: len(page) // 2]):
         began = time.process_time()
         html_extraction.main_text(part)
         took.append(time.process_time() - began)
