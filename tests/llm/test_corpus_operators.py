@@ -464,7 +464,7 @@ def test_shared_folder_of_a_cluster(spark):
     for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1000]", "k8s://x"):
         with pytest.raises(ValueError):
             shared_dir(session(master))
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
 def test_components(spark):
